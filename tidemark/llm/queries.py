@@ -11,10 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, mixing, sharding, token_sst, url_filter, warc
+from . import decontam, line_dedup, minhash, mixing, sharding, token_sst, url_filter, warc
 from .common import table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.PREFIX_RULES + url_filter.OWN_RULES)
     own = [r.text for r in url_filter.OWN_RULES]
@@ -63,6 +67,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_token_sst": op3_token_sst,
     "op4_warc": op4_warc,
