@@ -21,7 +21,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import delete, materialize
@@ -230,7 +230,7 @@ def _block_links(percent: int, miss: float):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, miss: float = 1e-9, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+    """(doc_id, n_shingles, component_id, text_hash, label, kept) for every row of ``docs``; ``label`` is the component, null without words.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| for their
     sets of ``shingle``-word shingles; components are what links connect.  With
@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     sets = signed.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"))
     sets = sets.withColumn("node", F.coalesce("least", F.lit(NO_ID) + F.pmod("f1", F.lit(NO_ID)))).withColumnsRenamed({"f1": "g1", "f2": "g2"})
     member = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))
-    ids = materialize(signed.select("doc_id", "n", "f1", "f2").join(sets.drop("least"), member, "left").select("doc_id", "n", "node"), "mh-ids")
+    ids = materialize(signed.select("doc_id", "th", "n", "f1", "f2").join(sets.drop("least"), member, "left").select("doc_id", "th", "n", "node"), "mh-ids")
     nodes = materialize(signed.filter("n > 0").join(sets, member & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "doc_id", "th", "bands", "sig"), "mh-nodes")
     delete(signed)
 
@@ -293,7 +293,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(more))
 
-    known_ids = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    judged = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     component = F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("label") < NO_ID, F.col("label"))
-    out = known_ids.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = judged.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("th").alias("text_hash"), "label")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each component: one with the least id.
+
+    Documents without words all stay.  Where several rows have the least id, the
+    one whose text has the least hash stays; without any id in a component
+    likewise.
+    """
+    judged = materialize(near_duplicates(docs, shingle, percent, doc_id=doc_id, text=text).filter("label is not null"), "mh-judged")
+    best = judged.filter("kept").groupBy("label").agg(F.min("text_hash").alias("least"), F.count("*").alias("rows"))
+    best = materialize(best.filter("rows > 1").select("label", "least"), "mh-best")  # the least id stands in several rows
+    losing = judged.filter("kept").join(best, "label").filter("text_hash != least")
+    pick = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
+    gone = materialize(judged.filter("not kept").select(*pick).union(losing.select(*pick)).distinct(), "mh-gone")
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__hash"))
+    left = docs.join(gone, same, "left_anti")
+    again = judged.filter("kept").join(best, "label").filter("text_hash = least").groupBy(*pick).agg(F.count("*").alias("__n"))
+    again = materialize(again.filter("__n > 1").select("__id", "__hash"), "mh-again")  # whole rows that repeat
+    if again.isEmpty():
+        return left
+    many = left.join(again, same, "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy(doc_id, F.xxhash64(F.col(text))).orderBy(F.lit(0)))).filter("__k = 1").drop("__k")
+    return left.join(again, same, "left_anti").unionByName(many)

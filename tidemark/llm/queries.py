@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, minhash, mixing, sharding, token_sst, url_filter, warc
+from . import ann, decontam, langid, line_dedup, minhash, mixing, sharding, token_sst, url_filter, warc
 from .common import table
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    judged = minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return judged.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, learn_from=~langid.held_out(F.col("doc_id")))
+    return langid.identify(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
     return found.select(
@@ -55,6 +62,11 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(ann.build_index(vectors, k=5), vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -71,8 +83,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_token_sst": op3_token_sst,
     "op4_warc": op4_warc,
+    "op5_language_id": op5_language_id,
     "op6_decontaminate": op6_decontaminate,
     "op7_shard": op7_shard,
+    "op8_ann": op8_ann,
     "op9_mix": op9_mix,
     "op10_line_dedup": op10_line_dedup,
 }
