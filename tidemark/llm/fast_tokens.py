@@ -3,7 +3,7 @@
 The library does all merging.  For tokenizer files whose pre-tokenization never
 joins characters across white space, a text's ids are those of its words one
 after another, so words are looked up in a bounded table and only new ones go to
-the library, many in one call.  Texts with characters for which the library's
+the library's model.  Texts with characters for which the library's
 Unicode tables might differ from Python's go to the library whole.
 """
 
@@ -13,19 +13,24 @@ import codecs
 import json
 import os
 import re
+import string
+import struct
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words, and pieces of words, that a worker remembers.
-CACHE = 250_000
+CACHE = 500_000
 #: The normalizer and the pattern for which word-wise encoding holds.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMAL = ["NFC", "Replace", "Lowercase"]
 #: Characters that no normal form, case rule or class treats differently: the rest make a text go whole.
 _ODD = re.compile("[^\x00-\x1b\x20-įı-ɏЀ-ҁҊ-ӿ‐-‧‰-⁞€ぁ-ゖァ-ヺ一-龥]|<\\|")
 
+#: Neither letters nor digits; a run of them is one piece where no letter follows.
+_MARKS = string.punctuation
+
 
 class Encoder:
     """``encode`` gives each text's ids as little-endian bytes of ``dtype``."""
@@ -44,12 +49,7 @@ class Encoder:
             import regex
 
             self.find = regex.compile(_SPLIT).findall
-            vocab = raw["model"]["vocab"]
-            self.last = np.zeros(top + 1, bool)  # tokens that end a piece
-            for token, i in vocab.items():
-                self.last[i] = token.endswith(raw["model"]["end_of_word_suffix"])
-            raw |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
-            self.merge = Tokenizer.from_str(json.dumps(raw))
+            self.model = Tokenizer.from_str(json.dumps(raw)).model
             self.table = _byte_table()
 
     @staticmethod
@@ -65,48 +65,48 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.whole(texts)
-        plain = [not _ODD.search(t) for t in texts]
-        split = [t.lower().split() if ok else [] for t, ok in zip(texts, plain, strict=True)]
         if len(self.words) > CACHE:
             self.words.clear()
-        new: set[str] = set()
-        for w in split:
-            new.update(w)
-        self._learn(list(new - self.words.keys()))
-        get = self.words.__getitem__
-        out = [b"".join(map(get, w)) for w in split]
-        if odd := [i for i, ok in enumerate(plain) if not ok]:
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        get, learn, odd, out = self.words.get, self._learn, [], []
+        for i, t in enumerate(texts):
+            if _ODD.search(t):
+                odd.append(i)
+                t = ""
+            words = t.lower().split()
+            ids = list(map(get, words))
+            if None in ids:  # learned at once, while the rest is at hand
+                ids = [y if y is not None else learn(w) for w, y in zip(words, ids, strict=True)]
+            out.append(b"".join(ids))
+        if odd:
             for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
                 out[i] = ids
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        cut = [(w,) if w.isalpha() else self.find(w) for w in words]
-        new = list({p for own in cut for p in own} - self.pieces.keys())
-        if new:
-            joined = codecs.charmap_decode(" ".join(new).encode(), "strict", self.table)[0]
-            ids = np.array(self.merge.encode(joined, add_special_tokens=False).ids, self.dtype)
-            ends = ((np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize).tolist()
-            if len(ends) != len(new):
-                raise ValueError("the tokenizer's pieces don't each end in one end-of-word token")
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(new, ends, strict=True):
-                self.pieces[p] = raw[at:end]
-                at = end
-        got = self.pieces
-        for w, own in zip(words, cut, strict=True):
-            self.words[w] = got[own[0]] if len(own) == 1 else b"".join([got[p] for p in own])
+    def _piece(self, piece: str) -> bytes:
+        known = self.pieces.get(piece)
+        if known is None:
+            shown = codecs.charmap_decode(piece.encode(), "strict", self.table)[0]
+            ids = [t.id for t in self.model.tokenize(shown)]
+            known = self.pieces[piece] = struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
+        return known
+
+    def _learn(self, word: str) -> bytes:
+        stem = word.rstrip(_MARKS)
+        if stem.isalpha():  # a word and the run of marks behind it
+            ids = self._piece(word) if len(stem) == len(word) else self._piece(stem) + self._piece(word[len(stem) :])
+        else:
+            ids = b"".join(map(self._piece, self.find(word)))
+        self.words[word] = ids
+        return ids
 
 
 def _byte_table() -> str:
-    """A printable character for each byte, as byte-level pre-tokenization writes them; the space stays, as it parts pieces."""
+    """A printable character for each byte, as byte-level pre-tokenization writes them."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = iter(range(256, 512))
-    table = [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
-    table[32] = " "
-    return "".join(table)
+    return "".join(chr(b) if b in shown else chr(next(rest)) for b in range(256))
 
 
 _ENCODERS: dict[str, Encoder] = {}
