@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Z_975 = 1.959963984540054
 
@@ -60,11 +61,11 @@ def t_quantile(p: float, df: float | None) -> float | None:
     return (low + high) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(None if pd.isna(a) else float(a), None if pd.isna(b) else float(b)) for a, b in zip(t, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_critical(p: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_quantile(float(a), None if pd.isna(b) else float(b)) for a, b in zip(p, df, strict=True)], dtype="float64")

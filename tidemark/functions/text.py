@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .scalar import Name, col
 
@@ -27,7 +28,7 @@ def nfc(c: Name) -> Column:
 
 
 def _normal(form: str):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def normal(t: pd.Series) -> pd.Series:
         return t.map(lambda x: None if x is None else unicodedata.normalize(form, x))
 
