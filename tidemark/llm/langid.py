@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Inverse document frequencies cover all documents that may be learned from.  The
-model is trained in one task on a bounded sample (``per_label`` documents of each
+model is trained in one task on a bounded sample (about ``per_label`` documents of each
 language) with follow-the-regularised-leader and an elastic-net penalty, and its
 probabilities are calibrated by a temperature on a part kept out of training.
 """
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -156,14 +156,15 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, learn_from: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = PER_LABEL, seed: int = 3) -> Model:
     """A model of the labels in ``lang``, from the rows where ``learn_from`` holds and id, text and label are not null.
 
-    Statistics cover all of these rows; weights are fitted to the ``per_label``
-    rows of each label with the least seeded hash of their id.  Without any such
-    row the model has no labels and answers "und".
+    Statistics cover all of these rows; weights are fitted to about ``per_label``
+    rows of each label, those with the least seeded hashes of their ids.  Without
+    any such row the model has no labels and answers "und".
     """
     usable = F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull()
     rows = docs.filter(usable if learn_from is None else usable & learn_from).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("r"))
-    first = rows.select("lang", "r").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("r"))).filter(F.col("k") <= per_label)
-    cuts = {x["lang"]: x["c"] for x in first.groupBy("lang").agg(F.max("r").alias("c")).collect()}  # a row for each label
+    # hashes are uniform, so a share of their range is that share of a label's rows: no rows of a label meet in a task
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each label
+    cuts = {x["lang"]: int(min(1.0, per_label / x["n"]) * (2**64 - 1)) - 2**63 for x in counts}
     labels = sorted(cuts)
     if not labels:
         return Model([], np.zeros((DIM, 0), np.float32), np.zeros(0))
