@@ -188,7 +188,10 @@ def build_index(table: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: st
     nodes = materialize(least.groupBy("h1", "h2", "dim").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_set("id")).alias("ids")), "ann-nodes")
     sizes = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards"))
     dealt = nodes.join(sizes, "dim").withColumn("shard", F.pmod("h1", "shards").cast("int"))
-    return dealt.select("dim", "shard", "h1", "h2", "vector", "ids").groupBy("dim", "shard").applyInPandas(_build, _INDEX)
+    # few rows, but each shard is a minute's work: a given number of partitions isn't coalesced by size
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = dealt.select("dim", "shard", "h1", "h2", "vector", "ids").repartition(tasks, "dim", "shard")
+    return own.groupBy("dim", "shard").applyInPandas(_build, _INDEX)
 
 
 def _ask(k: int, beam: int):
