@@ -160,3 +160,24 @@ def test_streaming_state(spark, tmp_path):
     q.stop()
     got = {r["transcript_id"]: r for r in spark.sql("SELECT * FROM tm_state").collect()}
     assert got[1]["n"] == 5 and got[1]["cumulative"] == 10.0 and math.isclose(got[2]["ema"], -1.0)
+
+
+def test_cleaning_chain(spark):
+    from tidemark.operators import cleaning
+
+    df = spark.createDataFrame([(1, "John Smith: Hello   there\r\n\r\n\r\n\r\n[Operator Instructions] it’s <b>fine</b>"), (2, None)], "k int, t string")
+    got = {r["k"]: r for r in cleaning.clean(df, "t").collect()}
+    assert got[1]["text_clean"] == "Hello there\n\nit's fine" and got[1]["word_count_clean"] == 4 and got[2]["text_clean"] == ""
+    tokens = cleaning.lm_preprocess(df, "t", ["there"]).orderBy("k").collect()
+    assert "hello" in tokens[0]["tokens"] and "there" not in tokens[0]["tokens"] and tokens[1]["tokens"] == []
+
+
+def test_transcript_ids(spark):
+    from tidemark.sources import transcripts
+
+    df = spark.createDataFrame([("aapl", "2024-10-30", "two words"), ("msft", "not a date", "")], "symbol string, date string, content string")
+    got = transcripts.normalise(df, "test").orderBy("transcript_id").collect()
+    assert [r["transcript_id"] for r in got] == ["AAPL_20241030", "MSFT_UNKNOWN"] and [r["word_count"] for r in got] == [2, 0]
+    prices = spark.createDataFrame([("AAPL", dt.date(2024, 1, d)) for d in range(1, 20)], "ticker string, date date")
+    events_ = spark.createDataFrame([("T", "AAPL", dt.date(2024, 1, 10))], "transcript_id string, ticker string, event_date date")
+    assert transcripts.around_events(prices, events_, 2, 3).count() == 6 and transcripts.across_events(prices, events_, 1, 1).count() == 3
