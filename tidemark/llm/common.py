@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import string
 import tempfile
@@ -42,7 +43,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, batch_rows: int = 2_000) -> DataFrame:
     """Writes ``df`` in the shared folder and reads it back.
 
     This cuts the lineage so that a lost executor costs no recomputation of what
@@ -51,10 +52,36 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    with arrow_rows(spark, batch_rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Fewer rows in an Arrow batch for plans that run inside: rows here are whole texts or sets."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
+
+
+def release() -> None:
+    """Gives a worker's freed memory back to the system, as idle workers stay for the next stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def delete(df: DataFrame) -> None:
     """Deletes a materialized table that no later plan reads."""
     spark = df.sparkSession

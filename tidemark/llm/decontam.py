@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import arrow_rows, materialize, release
 
 #: Words of benchmark items that one pass takes to the tasks.
 BLOCK_WORDS = 2_000_000
 #: Bytes of text, and candidates, that a worker handles at once.
-BATCH_BYTES, CANDIDATES = 8 << 20, 1 << 20
+BATCH_BYTES, CANDIDATES = 2 << 20, 1 << 18
 
 _WORD = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -97,10 +97,12 @@ def _word_counts(docs: DataFrame, ids: dict[bytes, int]) -> np.ndarray:
                     np.add.at(total, np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)), 1)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(total[hit])], names=["w", "n"])
+        release()
 
     out = np.zeros(n, np.int64)
-    for r in docs.mapInArrow(count, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["w"]] = r["n"]
+    with arrow_rows(docs.sparkSession, 2_000):
+        for r in docs.mapInArrow(count, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")).toLocalIterator():
+            out[r["w"]] = r["n"]
     sent.unpersist()
     return out
 
@@ -202,6 +204,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, width: int = 10, doc_i
                     spans[i] += [a - int(first[i]), end - int(first[i])]
                     a = end
             yield pa.RecordBatch.from_arrays([others[0], pa.array(sizes), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(map(str, o)) for o in owners], pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+        release()
 
     raw = rows.mapInArrow(match, schema)
     n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 #: Hashed features, and lengths of the n-grams.
 BITS, GRAMS = 16, (1, 2, 3)
@@ -100,6 +100,7 @@ def _learn_rows(docs: DataFrame, cuts: dict[str, int], labels: list[str]) -> Dat
         hit = np.flatnonzero(seen)
         w, n = np.append(hit, -1), np.append(seen[hit], documents)
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.int32()), pa.array(n), *(pa.nulls(len(w), t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=_LEARN)
+        release()
 
     return docs.mapInArrow(rows, "w int, n long, r long, y int, i binary, x binary")
 
@@ -191,6 +192,7 @@ def train(docs: DataFrame, learn_from: Column | None = None, doc_id: str = "doc_
         logits = np.array([x @ w[i] + b for _, i, x in check]).reshape(-1, classes)
         t = temperature(logits, np.array([y for y, _, _ in check], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([(w * idf[:, None] / t).astype("<f4").tobytes()]), pa.array([(b / t).astype("<f8").tobytes()])], names=["w", "b"])
+        release()
 
     sample = learned.filter("y is not null").select("r", "y", "i", "x")
     model = sample.repartition(1).mapInArrow(fit, "w binary, b binary").first()
@@ -212,6 +214,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
         for batch in batches:
             found = [m.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
+        release()
 
     return rows.mapInArrow(predict, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
@@ -226,5 +229,6 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, text:
         for batch in batches:
             found = [m.predict(t.as_py()) for t in batch.column(at)]
             yield batch.filter(pa.array([lang != UNKNOWN and p >= min_score for lang, p in found], pa.bool_()))
+        release()
 
     return docs.mapInArrow(keep, docs.schema)

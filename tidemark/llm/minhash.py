@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import delete, materialize
+from .common import delete, materialize, release
 from .components import components
 
 BATCH = 32
 #: Nodes of one side of a block of comparisons.
 BLOCK = 128
 #: Distinct words whose hash a worker remembers.
-_WORDS = 400_000
+_WORDS = 200_000
 #: Nodes without any id are numbered from here; ids must be smaller.
 NO_ID = 1 << 62
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -158,6 +158,7 @@ def _signatures(rows: DataFrame, k: int, bands: int, width: int) -> DataFrame:
                 marks.append(signer.band_hashes(low))
                 sigs.append(low.astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "th", "n", "f1", "f2", "bands", "sig"])
+        release()
 
     return rows.mapInArrow(sign, "doc_id long, th long, n long, f1 long, f2 long, bands array<long>, sig binary")
 
@@ -168,6 +169,7 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingle_set(t.as_py(), k).tobytes() for t in part.column(2)], pa.binary())], names=["node", "sig", "shingles"])
+        release()
 
     return rows.mapInArrow(make, "node long, sig binary, shingles binary")
 
@@ -183,6 +185,7 @@ def _prune(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
             if batch.num_rows:
                 ok = plausible(_signs(batch.column(2)), _signs(batch.column(3)), threshold, miss)
                 yield batch.select(["u", "v"]).filter(pa.array(ok))
+        release()
 
     return pairs.mapInArrow(keep, "u long, v long")
 
@@ -192,6 +195,7 @@ def _verify(pairs: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             ok = [linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     return pairs.mapInArrow(keep, "u long, v long")
 
@@ -272,7 +276,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     wanted = nodes.join(open_nodes, "node").select("node", "sig", F.col("doc_id").alias("d2"), F.col("th").alias("t2"))
     texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))).select("node", "sig", "text")
     full = materialize(_sets(texts, shingle), "mh-sets")
-    links = materialize(_verify(with_column(likely, full, "shingles"), percent), "mh-links")
+    links = materialize(_verify(with_column(likely, full, "shingles"), percent), "mh-links", 500)
     labels = components(links)
 
     # buckets that still hold several components: their rest against all, but for the pivot's pairs, which are settled
