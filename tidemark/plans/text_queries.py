@@ -49,8 +49,8 @@ def keywords_topk(spark, d):
     return rounded(nlp.keywords(_records(spark, d), "doc_id", STOP, 50))
 
 
-@query(f"""WITH {_TOK}, f AS (SELECT doc_id, list_filter(tokens, lambda t: NOT list_contains({_list(STOP)}, t)) AS l FROM tok), b AS (SELECT doc_id, l[i] || ' ' || l[i + 1] AS bigram, i FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM f)),
-k AS (SELECT doc_id, bigram, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(i)) AS rank FROM b GROUP BY 1, 2) SELECT doc_id, rank, bigram, n FROM k WHERE rank <= 30""")
+@query(f"""WITH {_TOK}, {_EXP}, b AS (SELECT doc_id, term || ' ' || lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS bigram, pos AS i FROM x WHERE NOT list_contains({_list(STOP)}, term)),
+k AS (SELECT doc_id, bigram, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(i)) AS rank FROM b WHERE bigram IS NOT NULL GROUP BY 1, 2) SELECT doc_id, rank, bigram, n FROM k WHERE rank <= 30""")
 def bigrams_topk(spark, d):
     return rounded(nlp.bigrams(_records(spark, d), "doc_id", STOP, 30))
 
