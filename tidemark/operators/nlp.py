@@ -30,7 +30,12 @@ def keywords(records: DataFrame, key: str, stop: list[str], n: int = 50) -> Data
 
 
 def bigrams(records: DataFrame, key: str, stop: list[str], n: int = 30) -> DataFrame:
-    return _top(records, key, tx.bigrams(tx.without("tokens", stop)), "bigram", n)
+    """Neighbours among the tokens that are left; linear in a text's length, as each token meets the next in a window."""
+    each = records.select(key, F.posexplode(tx.without("tokens", stop)).alias("pos", "t"))
+    pairs = each.withColumn("__next", F.lead("t").over(Window.partitionBy(key).orderBy("pos"))).filter("__next is not null")
+    counted = pairs.groupBy(key, F.concat_ws(" ", "t", "__next").alias("bigram")).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("n").desc(), "first"))
+    return counted.withColumn("rank", rank).filter(F.col("rank") <= n).select(key, "rank", "bigram", "n")
 
 
 def uncertainty(records: DataFrame, key: str, words: list[str]) -> DataFrame:
