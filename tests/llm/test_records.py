@@ -59,6 +59,28 @@ def test_archive_round_trip(spark):
     assert warc.read_archives(spark, warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_archive_keeps_pages_with_long_headers(spark):
+    rows = [(1, "http://a/" + "x" * 70_000, "a"), (2, "http://b/" + " " * 30_000, "b" * 1200), (3, "http://c/" + "y" * (5 << 20), "b" * 1200), (4, "http://d", "d")]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r["page_id"]: r for r in warc.read_archives(spark, manifest, payloads=True).collect()}
+    assert {i: r["url"] for i, r in got.items()} == {i: u.replace(" ", "%20") for i, u, _ in rows} and got[2]["refers_to"] == 3 and bytes(got[1]["payload"]) == b"a"
+
+
+def test_reading_whole_archives_fails_on_gaps_and_missing_records(spark, tmp_path):
+    parts = _archive(3)
+    for data, records in ((b"".join(parts), 4), (parts[0] + b"noise" + parts[1], 2), (parts[0] + parts[1][:-9], 2)):
+        (tmp_path / "a.warc.gz").write_bytes(data)
+        manifest = [{"path": str(tmp_path / "a.warc.gz"), "records": records, "bytes": len(data), "root": str(tmp_path)}]
+        assert warc.read_archives(spark, manifest).filter("gap_end is null").count() <= 3
+        with pytest.raises(Exception, match="in the manifest|are no record"):
+            warc.read_archives(spark, manifest, whole=True).collect()
+
+
+def test_plain_records_with_long_headers():
+    plain = warc.record_bytes([("WARC-Type", "warcinfo"), ("X-Note", "n" * (5 << 20))], b"hello")
+    assert [type(x).__name__ for x in warc.salvage(io.BytesIO(plain + plain))] == ["Record", "Record"]
+
+
 def _archive(n=6):
     out = []
     for i in range(n):

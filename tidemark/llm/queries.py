@@ -35,7 +35,7 @@ def op3_token_sst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=1000)
-    records = warc.read_archives(spark, manifest).filter("gap_end is null")
+    records = warc.read_archives(spark, manifest, whole=True)
     return records.select(F.col("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

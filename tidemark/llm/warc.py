@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,8 +28,10 @@ GZIP = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 #: An archive file is closed once it has this many bytes.
 FILE_BYTES = 1 << 30
-#: Headers longer than this are taken as damage, and so are records.
-MAX_HEADER, MAX_RECORD = 1 << 16, 1 << 30
+#: Where an uncompressed record is only guessed at (after damage), its header is looked for within so many bytes.
+MAX_HEADER = 1 << 16
+#: Content of a member beyond this is held in a temporary file.
+HELD = 64 << 20
 _WINDOW = 4 << 20
 _STATUS = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs of RFC 4122
@@ -99,67 +102,79 @@ class _Source:
             at += len(part) - len(VERSION)
         return -1
 
+    def index(self, what: bytes, at: int, n: int) -> int:
+        """Where ``what`` stands in the ``n`` bytes from ``at`` on; -1: nowhere."""
+        stop = min(at + n, self.size)
+        while at < stop:
+            part = self.get(at, min(_WINDOW, stop - at))
+            i = part.find(what)
+            if i >= 0:
+                return at + i
+            if at + len(part) >= stop:
+                return -1
+            at += len(part) - len(what) + 1
+        return -1
 
-def _parse(raw: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the record that ``raw`` begins with; ValueError if it isn't one."""
-    end = raw.find(b"\r\n\r\n", 0, MAX_HEADER)
-    if not raw.startswith(VERSION) or end < 0:
+
+def _plain(src: _Source, at: int, most: int) -> Record:
+    """The uncompressed record at ``at``, whose header takes up to ``most`` bytes; ValueError if it isn't one."""
+    end = src.index(b"\r\n\r\n", at, most) if src.get(at, len(VERSION)) == VERSION else -1
+    if end < 0:
         raise ValueError("no record header")
     headers = {}
-    for line in raw[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in src.get(at, end - at).decode("utf-8", "replace").split("\r\n")[1:]:
         k, _, v = line.partition(":")
         headers[k.strip().lower()] = v.strip()
     try:
         n = int(headers["content-length"])
     except (KeyError, ValueError):
         raise ValueError("no content length") from None
-    if not 0 <= n <= MAX_RECORD or raw[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
+    if not 0 <= n <= src.size or src.get(end + 4 + n, 4) != b"\r\n\r\n":
         raise ValueError("the record's length is wrong")
-    block = raw[end + 4 : end + 4 + n]
-    return headers, block, end + 8 + n
+    return Record(at, end + 8 + n, headers, src.get(end + 4, n))
 
 
-def _record(src: _Source, at: int) -> Record:
-    """The record at ``at``; ValueError if a check fails."""
+def _member(src: _Source, at: int) -> tuple[_Source, int]:
+    """The content and the end of the gzip member at ``at``; ValueError if gzip's check fails."""
+    d, out, pos = zlib.decompressobj(31), tempfile.SpooledTemporaryFile(HELD), at  # noqa: SIM115
+    try:
+        while not d.eof:
+            part = src.get(pos, 1 << 16)
+            if not part:
+                raise ValueError("the member is cut off")
+            out.write(d.decompress(part))
+            pos += len(part)
+    except zlib.error as e:
+        raise ValueError(f"the member is damaged: {e}") from None
+    return _Source(out), pos - len(d.unused_data)
+
+
+def _record(src: _Source, at: int, most: int) -> Record:
+    """The record at ``at``; ValueError if a check fails.  ``most`` bounds the header of an uncompressed one."""
     if src.get(at, 3) == GZIP:
-        d, out, pos, got = zlib.decompressobj(31), [], at, 0
-        try:
-            while not d.eof:
-                part = src.get(pos, 1 << 16)
-                if not part:
-                    raise ValueError("the member is cut off")
-                out.append(d.decompress(part))
-                got += len(out[-1])
-                if got > MAX_RECORD:
-                    raise ValueError("the member is too long")
-                pos += len(part)
-        except zlib.error as e:
-            raise ValueError(f"the member is damaged: {e}") from None
-        pos -= len(d.unused_data)
-        raw = b"".join(out)
-        headers, block, n = _parse(raw)
-        if n != len(raw):
+        content, end = _member(src, at)
+        record = _plain(content, 0, content.size)
+        if record.end != content.size:
             raise ValueError("the member holds more than a record")
+        record.start, record.end = at, end
     else:
-        head = src.get(at, MAX_HEADER)
-        m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\s*\r\n", head[: head.find(b"\r\n\r\n") + 2]) if head.startswith(VERSION) else None
-        if not m or int(m[1]) > MAX_RECORD:
-            raise ValueError("no record header")
-        headers, block, n = _parse(src.get(at, head.find(b"\r\n\r\n") + 8 + int(m[1])))
-        pos = at + n
-    record = Record(at, pos, headers, block)
-    digest = headers.get("warc-payload-digest", "")
+        record = _plain(src, at, most)
+    digest = record.headers.get("warc-payload-digest", "")
     if record.type == "response" and digest.startswith("sha1:") and hashlib.sha1(record.payload).hexdigest() != digest[5:]:
         raise ValueError("the payload's digest is wrong")
     return record
 
 
 def salvage(f) -> Iterator[Record | Gap]:
-    """All records of an open, seekable file in order, with a Gap for each run of bytes that isn't one."""
+    """All records of an open, seekable file in order, with a Gap for each run of bytes that isn't one.
+
+    Records and headers may have any length.  Only where a version line is met in
+    search of the next record after damage, its header must end within ``MAX_HEADER``.
+    """
     src, at, gap, why = _Source(f), 0, None, ""
     while at < src.size:
         try:
-            found = _record(src, at)
+            found = _record(src, at, src.size if gap is None else MAX_HEADER)
         except ValueError as e:
             if gap is None:
                 gap, why = at, str(e)
@@ -251,11 +266,13 @@ def _page_record(page, target, payload, n, sha1, owner, date) -> bytes:
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, gap_start long, gap_end long, gap_reason string, path string"
 
 
-def read_archives(spark: SparkSession, manifest: list[dict], payloads: bool = False) -> DataFrame:
+def read_archives(spark: SparkSession, manifest: list[dict], payloads: bool = False, whole: bool = False) -> DataFrame:
     """A row for each record and for each gap (``gap_end`` not null) of the archives.
 
     A damaged archive gives the records that can be read; nothing raises but a
-    missing file.  ``payloads`` adds the payload of responses.
+    missing file.  With ``whole`` a gap raises too, and so does an archive that
+    has more or fewer records than the manifest says.  ``payloads`` adds the
+    payload of responses.
     """
     schema = _READ + (", payload binary" if payloads else "")
     if not manifest:
@@ -268,13 +285,18 @@ def read_archives(spark: SparkSession, manifest: list[dict], payloads: bool = Fa
             for i in batch.column(0).to_pylist():
                 own = manifest[i]
                 with shared_fs(own["root"])[0].open_input_file(own["path"]) as f:
-                    out, held = [], 0
+                    out, held, records = [], 0, 0
                     for x in salvage(f):
+                        records += isinstance(x, Record)
+                        if whole and isinstance(x, Gap):
+                            raise ValueError(f"{own['path']}: bytes {x.start} to {x.end} are no record: {x.reason}")
                         out.append(_row(x, own["path"], payloads))
                         held += len(out[-1][-1] or b"") if payloads else 0
                         if len(out) == 5_000 or held > 16 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                             out, held = [], 0
+                    if whole and records != own["records"]:
+                        raise ValueError(f"{own['path']}: {records} records, {own['records']} in the manifest")
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
