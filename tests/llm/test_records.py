@@ -116,6 +116,38 @@ def test_salvage_reads_plain_records_too():
     assert [type(x).__name__ for x in found] == ["Record", "Gap", "Record"] and list(warc.salvage(io.BytesIO(b""))) == []
 
 
+def _response(body, digest):
+    return warc.record_bytes([("WARC-Type", "response"), ("WARC-Payload-Digest", digest)], b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(body) + body)
+
+
+def test_salvage_reads_digests_of_other_writers():
+    import base64
+    import hashlib
+
+    body = b"payload"
+    hex_, b32 = hashlib.sha1(body).hexdigest(), base64.b32encode(hashlib.sha1(body).digest()).decode()
+    for right in (f"sha1:{hex_}", f"sha1:{hex_.upper()}", f"sha1:{b32}", f"SHA1:{b32.lower()}", "sha1:unknown-form", "md5:00", "sha256:" + "0" * 64):
+        assert [type(x).__name__ for x in warc.salvage(io.BytesIO(warc.gzip_member(_response(body, right))))] == ["Record"], right
+    for wrong in (f"sha1:{hex_[1:]}{hex_[0]}", "sha1:" + "A" * 32):
+        assert [x.reason for x in warc.salvage(io.BytesIO(warc.gzip_member(_response(body, wrong))))] == ["the payload's digest is wrong"], wrong
+
+
+@pytest.mark.parametrize("held", [1 << 26, 1000])
+def test_salvage_reads_members_of_several_records(monkeypatch, held):
+    monkeypatch.setattr(warc, "HELD", held)
+    plain = [zlib.decompress(x, 31) for x in _archive()]
+    alone, whole = _archive(1)[0], warc.gzip_member(b"".join(plain))
+    found = list(warc.salvage(io.BytesIO(alone + whole + alone)))
+    assert [int(x.headers["x-page-id"]) for x in found] == [0, 0, 1, 2, 3, 4, 5, 0]
+    assert {(x.start, x.end) for x in found[1:-1]} == {(len(alone), len(alone) + len(whole))} and found[5].payload == b"payload 4 " * 201
+    # a wrong digest costs its record only, and a record inside its payload is none
+    trap = _response(plain[0], "sha1:" + "A" * 32)
+    found = list(warc.salvage(io.BytesIO(warc.gzip_member(plain[1] + trap + plain[2]))))
+    assert [int(x.headers["x-page-id"]) if isinstance(x, warc.Record) else x.reason[:20] for x in found] == [1, "the payload's digest", 2]
+    found = list(warc.salvage(io.BytesIO(warc.gzip_member(b"noise" + plain[1] + b"noise" + plain[2]))))
+    assert [type(x).__name__ for x in found] == ["Gap", "Record", "Gap", "Record"]
+
+
 def test_fast_encoding_is_the_library_s():
     e = Encoder(P.path("word_bpe_49k.json"))
     odd = ["It's 'some ''s don't we'll I'M x'yz 's... a--b 12ab3 ½²x é İstanbul ΣΑΣ <|endoftext|> 'LL O'Re", "", "日本語テスト 123!?", "naïve café—dash … “q”", "a\x1cb\x85c\xa0d", "(hello) [x]'s don't' 'tis re'd", "é́ ﬁ Ⅳ", "a" * 5000]

@@ -1,20 +1,23 @@
 """WARC archives: a writer that turns repeated payloads into revisits, and a reader that salvages.
 
-Each record is a gzip member of its own.  The reader checks every member (gzip
-checksum, WARC header, lengths, payload digest); after a failed check it looks
+The writer makes each record a gzip member of its own; the reader takes members
+of several records too.  It checks every member (gzip checksum) and record (WARC
+header, lengths, payload's SHA-1 in hex or base32); after a failed check it looks
 for the next member or version line that reads as a valid record, goes on from
 there and logs the bytes between as a quarantined gap.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import itertools
 import json
 import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -79,10 +82,10 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
 
 
 class _Source:
-    """A window over a seekable file."""
+    """A window over a seekable file, in which records begin with one of ``marks``."""
 
-    def __init__(self, f):
-        self.f, self.size, self.at, self.data = f, f.seek(0, 2), 0, b""
+    def __init__(self, f, marks: tuple[bytes, ...] = (GZIP, VERSION)):
+        self.f, self.size, self.at, self.data, self.marks = f, f.seek(0, 2), 0, b"", marks
 
     def get(self, at: int, n: int) -> bytes:
         if at < self.at or at + n > self.at + len(self.data):
@@ -91,10 +94,10 @@ class _Source:
         return self.data[at - self.at : at - self.at + n]
 
     def find(self, at: int) -> int:
-        """Where the next gzip member or version line might begin; -1: nowhere."""
+        """Where the next of the marks stands; -1: nowhere."""
         while at < self.size:
             part = self.get(at, _WINDOW)
-            hits = [i for i in (part.find(GZIP), part.find(VERSION)) if i >= 0]
+            hits = [i for i in map(part.find, self.marks) if i >= 0]
             if hits:
                 return at + min(hits)
             if len(part) < _WINDOW:
@@ -146,51 +149,88 @@ def _member(src: _Source, at: int) -> tuple[_Source, int]:
             pos += len(part)
     except zlib.error as e:
         raise ValueError(f"the member is damaged: {e}") from None
-    return _Source(out), pos - len(d.unused_data)
+    return _Source(out, (VERSION,)), pos - len(d.unused_data)
 
 
-def _record(src: _Source, at: int, most: int) -> Record:
-    """The record at ``at``; ValueError if a check fails.  ``most`` bounds the header of an uncompressed one."""
-    if src.get(at, 3) == GZIP:
-        content, end = _member(src, at)
-        record = _plain(content, 0, content.size)
-        if record.end != content.size:
-            raise ValueError("the member holds more than a record")
-        record.start, record.end = at, end
-    else:
-        record = _plain(src, at, most)
-    digest = record.headers.get("warc-payload-digest", "")
-    if record.type == "response" and digest.startswith("sha1:") and hashlib.sha1(record.payload).hexdigest() != digest[5:]:
-        raise ValueError("the payload's digest is wrong")
-    return record
+class _WrongDigest(ValueError):
+    def __init__(self, end: int):
+        super().__init__("the payload's digest is wrong")
+        self.end = end
 
 
-def salvage(f) -> Iterator[Record | Gap]:
-    """All records of an open, seekable file in order, with a Gap for each run of bytes that isn't one.
+def _sha1(stated: str) -> bytes | None:
+    """The bytes of a digest in hex or base32, in any case; None if it is of another kind or form."""
+    kind, _, text = (x.strip() for x in stated.partition(":"))
+    if kind.lower() != "sha1":
+        return None
+    if re.fullmatch("[0-9A-Fa-f]{40}", text):
+        return bytes.fromhex(text)
+    return base64.b32decode(text.upper()) if re.fullmatch("[A-Za-z2-7]{32}", text) else None
 
-    Records and headers may have any length.  Only where a version line is met in
-    search of the next record after damage, its header must end within ``MAX_HEADER``.
+
+def _records(src: _Source, at: int, most: int) -> tuple[Iterable[Record | Gap], int]:
+    """What stands at ``at``, and its end; ValueError if a check fails.  ``most`` bounds the header of an uncompressed record.
+
+    Records of a gzip member have the member's start and end, and so have gaps among them.
     """
-    src, at, gap, why = _Source(f), 0, None, ""
+    if GZIP in src.marks and src.get(at, len(GZIP)) == GZIP:
+        content, end = _member(src, at)
+        inside, first = _walk(content), []
+        for x in inside:
+            first.append(x)
+            if isinstance(x, Record):
+                break
+        else:
+            raise ValueError(first[0].reason if first else "the member is empty")
+
+        def placed():
+            for x in itertools.chain(first, inside):
+                if isinstance(x, Gap):
+                    x.reason = f"{x.reason} (bytes {x.start} to {x.end} of the member's content)"
+                x.start, x.end = at, end
+                yield x
+
+        return placed(), end
+    record = _plain(src, at, most)
+    sha1 = _sha1(record.headers.get("warc-payload-digest", "")) if record.type == "response" else None
+    if sha1 is not None and hashlib.sha1(record.payload).digest() != sha1:
+        raise _WrongDigest(record.end)
+    return (record,), record.end
+
+
+def _walk(src: _Source) -> Iterator[Record | Gap]:
+    at, gap, why, guess = 0, None, "", False
     while at < src.size:
         try:
-            found = _record(src, at, src.size if gap is None else MAX_HEADER)
+            found, end = _records(src, at, MAX_HEADER if guess else src.size)
         except ValueError as e:
             if gap is None:
                 gap, why = at, str(e)
-            at = src.find(at + 1)
+            # the lengths in a member that passed gzip's check hold: no record is looked for inside a payload
+            guess = not (isinstance(e, _WrongDigest) and GZIP not in src.marks)
+            at = src.find(at + 1) if guess else e.end
             if at < 0:
                 break
             continue
         if gap is not None:
-            yield Gap(gap, found.start, why)
-            gap = None
-        yield found
-        at = found.end
+            yield Gap(gap, at, why)
+            gap, guess = None, False
+        yield from found
+        at = end
     if gap is not None:
         yield Gap(gap, src.size, why)
 
 
+def salvage(f) -> Iterator[Record | Gap]:
+    """All records of an open, seekable file in order, with a Gap for each run of bytes that isn't one.
+
+    Records and headers may have any length.  Only where a version line is met in
+    search of the next record after damage, its header must end within ``MAX_HEADER``.
+    A member that fails gzip's check is a gap as a whole.
+    """
+    return _walk(_Source(f))
+
+
 def mark_revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html", min_bytes: int = 1000) -> DataFrame:
     """``pages`` with ``__bytes``, ``__sha1`` and ``__owner``: the largest id that has this payload, where another's is larger.
 
