@@ -1,8 +1,10 @@
 """The pipeline's stages, each on what the one before kept."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidemark.llm import langid
 from tidemark.llm.common import materialize
 
 
@@ -27,3 +29,10 @@ def test_stages_take_awkward_rows(spark, sf):
         empty = stage(spark, docs.limit(0), sf)
         assert empty.count() == 0
         docs = materialize(stage(spark, docs, sf), "test-odd")
+
+
+def test_language_stage_keeps_whatever_has_letters(spark, sf, monkeypatch):
+    monkeypatch.setattr(langid, "train", lambda *a, **k: langid.Model(["de", "en", "es", "fr"], np.zeros((langid.DIM, 4), np.float32), np.zeros(4)))  # a quarter each
+    rows = [(1, "the la des"), (2, "word"), (3, "123 !?"), (4, ""), (5, None), (6, "é")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, sf).collect()) == [1, 2, 6]
