@@ -319,3 +319,22 @@ def test_neighbours_with_awkward_vectors(spark):
     assert hits / total >= 0.95
     assert [i for _, i, _ in sorted(got[0])] == [1000, 1001, 1002, 1003, 1004]
     assert ann.search(ann.build_index(df.limit(0)), df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [300, 1500])
+def test_tied_vectors_give_the_smaller_ids(spark, n):
+    rng = np.random.default_rng(7)
+    multiples = [(i, [float(2 ** (i % 40) * (1 + i // 40))] + [0.0] * 7) for i in range(n // 3)]  # one direction, exact cosines
+    rest = [(10_000 + i, [0.0, *rng.normal(size=7).tolist()]) for i in range(n - n // 3)]  # of cosine 0 to the former
+    ids = rng.permutation(n).tolist()
+    rows = [(ids[j], v) for j, (_, v) in enumerate(multiples + rest)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one = sorted(ids[: len(multiples)])
+    asked = df.filter(F.col("vec_id").isin(one[:3] + one[-3:]))
+    got = {}
+    for r in ann.search(ann.build_index(df), asked).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in one[:3] + one[-3:]:
+        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, 1.0) for i in one if i != q][:5]
+    got = ann.search(ann.build_index(df), spark.createDataFrame([(-1, [-1.0] + [0.0] * 7)], "vec_id long, embedding array<double>")).collect()
+    assert sorted(r["vec_id"] for r in got) == sorted(set(ids) - set(one))[:5]

@@ -22,8 +22,8 @@ SHARD, QUERY_BLOCK = 8_000, 2_000
 DEGREE, MOST, BUILD_BEAM, BEAM, ALPHA = 32, 48, 64, 96, 1.2
 #: Vertices expanded at once, searches in one array operation.
 EXPAND, STEP = 4, 256
-#: Shards up to this size are scanned.
-SCAN = 400
+#: Shards up to this size are scanned, and so is a shard whose best for a query are as near as this to each other.
+SCAN, TIE = 400, 1e-6
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -204,6 +204,7 @@ def _ask(k: int, beam: int):
             counts, ids = np.frombuffer(row["counts"], "<i4"), np.frombuffer(row["ids"], "<i8")
             begin = np.cumsum(counts) - counts
             norm = np.sqrt((vectors * vectors).sum(axis=1))
+            cosines = lambda near, q: (vectors[near] * q).sum(axis=1) / (norm[near] * np.sqrt((q * q).sum()))
             graph = Graph(_unit(vectors), np.frombuffer(row["links"], np.int32).reshape(n, MOST), int(row["start"])) if row["start"] >= 0 else None
             asked, qids = _vectors(queries["vector"]), queries["query_id"].tolist()
             for i in range(0, len(asked), STEP):
@@ -211,10 +212,14 @@ def _ask(k: int, beam: int):
                 found = graph.search(_unit(part).astype(np.float32), beam)[0] if graph else np.broadcast_to(np.arange(n), (len(part), n))
                 for j, near in enumerate(found):
                     near = near[near >= 0]
-                    v, q = vectors[near], part[j]
-                    score = (v * q).sum(axis=1) / (norm[near] * np.sqrt((q * q).sum()))
-                    rows = []
-                    for m in np.argsort(-score, kind="stable")[: 2 * k + 2].tolist():
+                    score = cosines(near, part[j])
+                    best = -np.sort(-score)[: k + 2]
+                    if graph and (best[:-1] - best[1:] <= TIE).any():  # more of the tied may lie outside the beam
+                        near = np.arange(n)
+                        score = cosines(near, part[j])
+                    order, rows = np.argsort(-score, kind="stable"), []
+                    enough = min(int(np.searchsorted(np.cumsum(counts[near[order]]), k + 1)), len(order) - 1)  # the query's own id may be among them
+                    for m in order[: max(enough + 1, np.count_nonzero(score >= score[order[enough]]))].tolist():
                         b = begin[near[m]]
                         rows += [(-float(score[m]), int(x)) for x in ids[b : b + counts[near[m]]] if x != qids[i + j]]
                     out += [(qids[i + j], x, -s) for s, x in sorted(rows)[:k]]
