@@ -338,3 +338,15 @@ def test_tied_vectors_give_the_smaller_ids(spark, n):
         assert [(i, s) for _, i, s in sorted(got[q])] == [(i, 1.0) for i in one if i != q][:5]
     got = ann.search(ann.build_index(df), spark.createDataFrame([(-1, [-1.0] + [0.0] * 7)], "vec_id long, embedding array<double>")).collect()
     assert sorted(r["vec_id"] for r in got) == sorted(set(ids) - set(one))[:5]
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered", "copies"])
+def test_recall_in_a_shard_of_full_size(kind):
+    rng, n, d = np.random.default_rng(1), ann.SHARD, 64
+    v = {"random": lambda: rng.normal(size=(n, d)), "clustered": lambda: rng.normal(size=(80, d))[rng.integers(0, 80, n)] + 0.3 * rng.normal(size=(n, d)), "copies": lambda: np.repeat(rng.normal(size=(n // 8, d)), 8, axis=0) + 0.01 * rng.normal(size=(n, d))}[kind]()
+    unit = ann._unit(v).astype(np.float32)
+    asked = rng.permutation(n)[:200]
+    sim = unit[asked] @ unit.T
+    found = ann.Graph(unit).search(unit[asked], ann.BEAM)[0]
+    hits = sum(len(set(sorted((x for x in f if x >= 0), key=lambda x: -s[x])[:6]) & set(np.argsort(-s)[:6].tolist())) for f, s in zip(found.tolist(), sim, strict=True))
+    assert hits / (6 * len(asked)) >= 0.98
