@@ -154,3 +154,22 @@ def test_contamination_matches_brute_force(spark):
     spans = decontam.find_contamination(df.filter("doc_id = 1"), bench).first()["hit_spans"]
     assert [(s["first"], s["last"]) for s in spans] == [(1, 13)]
     assert {r["doc_id"] for r in decontam.drop_contaminated(df, bench).collect()} == {2, 3, 4, 5}
+
+
+def test_one_block_of_the_benchmark_is_out_at_a_time(spark, monkeypatch):
+    sent, alive = [], []
+    context, real = spark.sparkContext, spark.sparkContext.broadcast
+
+    def broadcast(value):
+        b = real(value)
+        if isinstance(value, decontam.Windows):
+            sent.append(b)
+            alive.append(sum(x._jbroadcast.isValid() for x in sent))
+        return b
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    items = spark.createDataFrame([(i, " ".join(WORDS[8 * i : 8 * i + 12])) for i in range(5)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(WORDS[:60])), (2, "clean"), (3, " ".join(WORDS[16:28])), (3, " ".join(WORDS[16:28])), (None, None)], "doc_id long, text string")
+    got = sorted((repr(r["doc_id"]), r["n_hit"], r["items"], [tuple(s) for s in r["hit_spans"]]) for r in decontam.find_contamination(docs, items, block_words=3).collect())
+    assert got == [("1", 44, list("01234"), [(0, 44)]), ("2", 0, [], []), ("3", 12, ["2"], [(0, 12)]), ("3", 12, ["2"], [(0, 12)]), ("None", 0, [], [])]
+    assert len(alive) > 2 and max(alive) == 1

@@ -5,18 +5,20 @@ whole window, one of its tokens is prefix enough: the rarest over the corpus.
 Only where a document holds such a token is a window laid over it, at the one
 place that the token's position allows (the positional bound) and that lies
 within the document (the length bound), and then compared word by word, rarest
-words first.  The benchmark travels to the tasks in blocks of bounded size, and
-every block meets all documents.
+words first.  The benchmark travels to the tasks in blocks of bounded size, one
+at a time, and every block meets all documents; what the blocks hit is united.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, materialize, release
@@ -156,42 +158,21 @@ def _blocks(bench: DataFrame, item_id: str, text: str, block_words: int) -> Iter
         yield block
 
 
-def find_contamination(docs: DataFrame, bench: DataFrame, width: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, hit_spans) for every row of ``docs``.
-
-    ``items``: ids of the items with a window in the document, sorted as strings.
-    ``hit_spans``: [first, last) word positions that lie in an occurrence.  An item of fewer
-    words than ``width`` is one window.  Null text has no words; items with a null
-    id or text take no part; repeated items are one; an empty table of either kind
-    gives no hits.  Items and documents that tie or repeat each count.
-    """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, spans array<int>, items array<string>"
-    context = docs.sparkSession.sparkContext
-    passes = []
-    for block in _blocks(bench, item_id, item_text, block_words):
-        windows = Windows(block, width)
-        if not len(windows.words):
-            continue
-        windows.order_by_rarity(_word_counts(rows.select("text"), windows.ids))
-        passes.append(context.broadcast(windows))
-    if not passes:
-        passes.append(context.broadcast(None))
+def _matched(rows: DataFrame, key: Column, sent: Broadcast | None, schema: str) -> DataFrame:
+    """Each row's hits by the windows of one block (None: no windows)."""
 
     def match(batches):
-        loaded = [(x.value, _Numbers(x.value.ids) if x.value else _Numbers()) for x in passes]
+        windows = sent.value if sent is not None else None
+        numbers = _Numbers(windows.ids) if windows is not None else None
         for others, texts in _batches(batches):
             words = [words_of(t) for t in texts]
             sizes = np.array([len(x) for x in words], np.int64)
             doc = np.repeat(np.arange(len(words)), sizes)
             hit, owners = np.zeros(len(doc), bool), [set() for _ in words]
-            for windows, numbers in loaded:
-                if windows is None:
-                    continue
+            if windows is not None:
                 nums = np.fromiter((n for x in words for n in map(numbers.__getitem__, x)), np.int32, len(doc))
                 own, d, w = _hits(nums, doc, windows)
-                hit |= own
+                hit = own
                 for i, j in set(zip(d.tolist(), w.tolist(), strict=True)):
                     owners[i].update(windows.owners[j])
             edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
@@ -203,10 +184,56 @@ def find_contamination(docs: DataFrame, bench: DataFrame, width: int = 10, doc_i
                     end = min(b, int(first[i] + sizes[i]))
                     spans[i] += [a - int(first[i]), end - int(first[i])]
                     a = end
-            yield pa.RecordBatch.from_arrays([others[0], pa.array(sizes), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(map(str, o)) for o in owners], pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([others[0], others[1], pa.array(sizes), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(map(str, o)) for o in owners], pa.list_(pa.string()))], names=["doc_id", "key", "n_words", "spans", "items"])
         release()
 
-    raw = rows.mapInArrow(match, schema)
+    return rows.select("doc_id", key.alias("key"), "text").mapInArrow(match, schema)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans and items of a row united with those of the other blocks."""
+    for batch in batches:
+        spans, items = [], []
+        for own, names, more, other in zip(*(batch.column(c).to_pylist() for c in ("spans", "items", "more_spans", "more_items")), strict=True):
+            out: list[int] = []
+            for a, b in sorted((s[i], s[i + 1]) for s in [own, *(more or [])] for i in range(0, len(s), 2)):
+                if out and a <= out[-1]:
+                    out[-1] = max(out[-1], b)
+                else:
+                    out += [a, b]
+            spans.append(out)
+            items.append(sorted({*names, *(x for y in other or [] for x in y)}))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("n_words"), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "key", "n_words", "spans", "items"])
+
+
+def find_contamination(docs: DataFrame, bench: DataFrame, width: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, hit_spans) for every row of ``docs``.
+
+    ``items``: ids of the items with a window in the document, sorted as strings.
+    ``hit_spans``: [first, last) word positions that lie in an occurrence.  An item of fewer
+    words than ``width`` is one window.  Null text has no words; items with a null
+    id or text take no part; repeated items are one; an empty table of either kind
+    gives no hits.  Items and documents that tie or repeat each count.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, key string, n_words long, spans array<int>, items array<string>"
+    context = docs.sparkSession.sparkContext
+    sent, earlier = None, []
+    for block in _blocks(bench, item_id, item_text, block_words):
+        windows = Windows(block, width)
+        if not len(windows.words):
+            continue
+        if sent is not None:  # only one block is out at a time: what it hits is written before the next goes out
+            hits = _matched(rows, F.sha2("text", 256), sent, schema).filter(F.size("spans") > 0)
+            earlier.append(materialize(hits.select("key", "spans", "items").dropDuplicates(["key"]), "leak-hits"))
+            sent.destroy()
+        windows.order_by_rarity(_word_counts(rows.select("text"), windows.ids))
+        sent = context.broadcast(windows)
+    raw = _matched(rows, F.sha2("text", 256) if earlier else F.lit(None).cast("string"), sent, schema)
+    if earlier:
+        more = functools.reduce(DataFrame.unionByName, earlier).groupBy("key").agg(F.collect_list("spans").alias("more_spans"), F.collect_list("items").alias("more_items"))
+        raw = raw.join(more, "key", "left").select("doc_id", "key", "n_words", "spans", "items", "more_spans", "more_items").mapInArrow(_merged, schema)
     n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     spans = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int")), lambda i: F.struct(F.try_element_at("spans", 2 * i + 1).alias("first"), F.try_element_at("spans", 2 * i + 2).alias("last")))
     return raw.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", F.filter(spans, lambda s: s["last"].isNotNull()).alias("hit_spans"))
