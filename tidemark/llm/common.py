@@ -8,6 +8,7 @@ import shutil
 import string
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,27 +49,42 @@ def materialize(df: DataFrame, tag: str, batch_rows: int = 2_000) -> DataFrame:
 
     This cuts the lineage so that a lost executor costs no recomputation of what
     came before, and gives the planner the true size of the table, so that it
-    broadcasts only what fits ``spark.sql.autoBroadcastJoinThreshold``.
+    broadcasts only what fits ``spark.sql.autoBroadcastJoinThreshold``.  The files
+    of the shuffles that made the table go as soon as it stands.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    with arrow_rows(spark, batch_rows):
+    with setting(spark, _CLEANUP, "true"), arrow_rows(spark, batch_rows):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tables = [path]
+    return out
 
 
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """``key`` is ``value`` for the plans that run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Fewer rows in an Arrow batch for plans that run inside: rows here are whole texts or sets."""
     before = spark.conf.get(_ROWS)
-    spark.conf.set(_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
+    with setting(spark, _ROWS, str(min(rows, int(before)) if int(before) > 0 else rows)):
         yield
-    finally:
-        spark.conf.set(_ROWS, before)
 
 
 def release() -> None:
@@ -82,16 +98,63 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def delete(df: DataFrame) -> None:
-    """Deletes a materialized table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        if "/tidemark/" in f:
-            p = jvm.org.apache.hadoop.fs.Path(f)
+def delete(*frames: DataFrame) -> None:
+    """Deletes materialized tables (or those behind a frame that names them in ``_tables``) that no later plan reads."""
+    for df in frames:
+        spark = df.sparkSession
+        for path in getattr(df, "_tables", []):
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``taken`` has it (Spark's names ignore case)."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: 64-bit words of a key filter, 2 MB whatever the number of keys, and words of one of its rows.
+FILTER_WORDS, _FILTER_ROW = 1 << 18, 512
+
+
+def key_filter(keys: DataFrame) -> tuple[Callable[[Column], Column], DataFrame]:
+    """A Bloom filter of the one column of ``keys``, 64-bit hashes: (test of a column of hashes, its table).
+
+    It has a bit for each hash and a fixed size, so it is within any memory; more
+    keys only let more rows through.  It saves shuffling the rows that it holds
+    back, and an exact join must follow.
+    """
+    spark, h = keys.sparkSession, F.col(keys.columns[0])
+    word = lambda x: F.pmod(x, F.lit(FILTER_WORDS)).cast("int")
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 40).bitwiseAND(F.lit(63)).cast("int"))
+    empty = spark.range(0, FILTER_WORDS, 1, 4).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("m"))
+    words = keys.select(word(h).alias("w"), bit(h).alias("m")).union(empty).groupBy("w").agg(F.expr("bit_or(m)").alias("m"))
+    in_order = lambda c: F.transform(F.array_sort(c), lambda x: x["m"])
+    rows = words.groupBy(F.floor(F.col("w") / _FILTER_ROW).alias("w")).agg(in_order(F.collect_list(F.struct(F.pmod("w", F.lit(_FILTER_ROW)).alias("w"), "m"))).alias("m"))
+    bits = materialize(rows.agg(F.flatten(in_order(F.collect_list(F.struct("w", "m")))).alias("bits")), "key-filter")
+    return lambda x: F.get(bits.scalar(), word(x)).bitwiseAND(bit(x)) != 0, bits
+
+
+def within(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key``, a 64-bit hash, may be among ``keys``, without a shuffle of ``rows``."""
+    may_be, _ = key_filter(keys)
+    return rows.filter(may_be(key))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: Column, gone_key: Column, same: Column) -> DataFrame:
+    """``rows`` less those of which ``same`` holds with a row of ``gone``; only rows that the key filter lets through are shuffled.
+
+    ``key`` and ``gone_key`` are hashes that agree wherever ``same`` holds.
+    """
+    may_be, _ = key_filter(gone.select(gone_key))
+    return rows.filter(~may_be(key)).unionByName(rows.filter(may_be(key)).join(gone, same, "left_anti"))
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)

@@ -41,5 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
         delete(now)
         now = after
         if new == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            out._tables = now._tables
+            return out
         mark = new

@@ -8,8 +8,8 @@
    posterior probability of the threshold or more falls below ``miss``.
    Survivors are verified on their full sets, and links joined to components.
 4. Members of a bucket that still are in different components are compared with
-   each other in blocks (signatures first, then full sets); a block's task returns
-   a spanning set of its links only.
+   each other in blocks: signatures find the nodes that may have links, only
+   those meet on full sets, and a block's task returns a spanning set of links.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import delete, materialize, release
+from .common import delete, fresh, materialize, release, within, without
 from .components import components
 
 BATCH = 32
@@ -144,7 +144,7 @@ def _signatures(rows: DataFrame, k: int, bands: int, width: int) -> DataFrame:
     def sign(batches):
         for batch in batches:
             n, f1, f2, marks, sigs = [], [], [], [], []
-            for text in batch.column(2):
+            for text in batch.column(3):
                 s = shingle_set(text.as_py(), k)
                 n.append(len(s))
                 if not len(s):
@@ -157,10 +157,10 @@ def _signatures(rows: DataFrame, k: int, bands: int, width: int) -> DataFrame:
                 f2.append(int(d[1]))
                 marks.append(signer.band_hashes(low))
                 sigs.append(low.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "th", "n", "f1", "f2", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["row", "doc_id", "th", "n", "f1", "f2", "bands", "sig"])
         release()
 
-    return rows.mapInArrow(sign, "doc_id long, th long, n long, f1 long, f2 long, bands array<long>, sig binary")
+    return rows.mapInArrow(sign, "row long, doc_id long, th long, n long, f1 long, f2 long, bands array<long>, sig binary")
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
@@ -168,10 +168,10 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingle_set(t.as_py(), k).tobytes() for t in part.column(2)], pa.binary())], names=["node", "sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingle_set(t.as_py(), k).tobytes() for t in part.column(2)], pa.binary())], names=["doc_id", "th", "shingles"])
         release()
 
-    return rows.mapInArrow(make, "node long, sig binary, shingles binary")
+    return rows.mapInArrow(make, "doc_id long, th long, shingles binary")
 
 
 def _signs(column) -> np.ndarray:
@@ -200,6 +200,23 @@ def _verify(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(keep, "u long, v long")
 
 
+def _block_hopes(percent: int, miss: float):
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The nodes of one block whose signature lets some link with another component be; no sets are read yet."""
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        hope_l, hope_r = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        if len(left) and len(right):
+            a, b, rlabel = _signs(left["sig"]), _signs(right["sig"]), right["label"].to_numpy()
+            for i, label in enumerate(left["label"].tolist()):
+                other = np.flatnonzero(rlabel != label)
+                good = other[plausible(np.broadcast_to(a[i], (len(other), a.shape[1])), b[other], percent / 100, miss)]
+                hope_l[i] = len(good) > 0
+                hope_r[good] = True
+        return pd.concat([left[hope_l], right[hope_r]])[["band", "i", "j", "side", "node", "label"]]
+
+    return find
+
+
 def _block_links(percent: int, miss: float):
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         """A spanning set of the links between the rest's nodes and the others of one block."""
@@ -233,6 +250,32 @@ def _block_links(percent: int, miss: float):
     return find
 
 
+def _nodes(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ids, nodes): the node of every row, and one row of each node with its bands and signature.
+
+    A set's node is its least id.  Rows of one set are first grouped within one of
+    64 parts, so that a set of a third of all rows is no single key of the join;
+    wide rows are moved only where a set has several rows.
+    """
+    part = F.pmod(F.xxhash64("row"), F.lit(64)).cast("int").alias("part")
+    narrow = signed.select("row", "doc_id", "th", "n", "f1", "f2", part)
+    parts = narrow.filter("n > 0").groupBy("f1", "f2", "part").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
+    parts = materialize(parts, "mh-parts")
+    whole = parts.groupBy("f1", "f2").agg(F.min("least").alias("first"), F.sum("size").alias("of")).filter("of > 1")
+    several = materialize(parts.select("f1", "f2", "part").join(whole, ["f1", "f2"]).select("f1", "f2", "part", "first", F.lit(1).alias("many")), "mh-several")
+    own = F.when(F.col("n") > 0, F.coalesce(F.when(F.col("many") == 1, F.col("first")).otherwise(F.col("doc_id")), F.lit(NO_ID) + F.pmod("f1", F.lit(NO_ID))))
+    ids = narrow.join(several, ["f1", "f2", "part"], "left").select("row", "doc_id", "th", "n", own.alias("node"), "many", F.col("doc_id").eqNullSafe(F.col("first")).alias("is_first"))
+    ids = materialize(ids, "mh-ids")
+    of_many = ids.filter("many = 1")
+    chosen = of_many.filter("is_first").groupBy("node").agg(F.min("row").alias("row")).select("row")
+    others = materialize(of_many.select("row").join(chosen, "row", "left_anti").withColumnRenamed("row", "other"), "mh-others")
+    single = without(signed.filter("n > 0"), others, F.xxhash64("row"), F.xxhash64("other"), F.col("row") == F.col("other"))
+    alone = F.coalesce("doc_id", F.lit(NO_ID) + F.pmod("f1", F.lit(NO_ID)))  # the chosen row has the least id
+    nodes = materialize(single.select(alone.alias("node"), "doc_id", "th", "bands", "sig"), "mh-nodes")
+    delete(signed, parts, several, others)
+    return ids, nodes
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, miss: float = 1e-9, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_hash, label, kept) for every row of ``docs``; ``label`` is the component, null without words.
 
@@ -248,36 +291,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     """
     t = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.cast("binary").alias("text"))
-    signed = materialize(_signatures(base, shingle, bands, rows), "mh-signed")
-    # one node for each set: its least id, or a number of its own where it has none
-    sets = signed.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"))
-    sets = sets.withColumn("node", F.coalesce("least", F.lit(NO_ID) + F.pmod("f1", F.lit(NO_ID)))).withColumnsRenamed({"f1": "g1", "f2": "g2"})
-    member = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))
-    ids = materialize(signed.select("doc_id", "th", "n", "f1", "f2").join(sets.drop("least"), member, "left").select("doc_id", "th", "n", "node"), "mh-ids")
-    nodes = materialize(signed.filter("n > 0").join(sets, member & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "doc_id", "th", "bands", "sig"), "mh-nodes")
-    delete(signed)
+    signed = materialize(_signatures(base.select(F.monotonically_increasing_id().alias("row"), "*"), shingle, bands, rows), "mh-signed")
+    ids, nodes = _nodes(signed)
 
     rows_ = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = rows_.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("pivot"), F.max("node").alias("top"), F.expr("bit_xor(xxhash64(node))").alias("mark"))
+    shared = rows_.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot != top")
+    shared = materialize(shared.select("band", "pivot", "size"), "mh-shared")
+    every = materialize(rows_.join(shared, "band").select("band", "pivot", "size", "node"), "mh-every")
     # buckets of the same members are one
-    buckets = buckets.filter("pivot != top").groupBy("size", "pivot", "top", "mark").agg(F.min("band").alias("band"))
-    buckets = materialize(buckets.select("band", "pivot", "size"), "mh-buckets")
-    members = materialize(rows_.join(buckets, "band").select("band", "pivot", "size", "node"), "mh-members")
+    buckets = every.groupBy("band", "size", "pivot").agg(F.max("node").alias("top"), F.expr("bit_xor(xxhash64(node))").alias("mark"))
+    buckets = materialize(buckets.groupBy("size", "pivot", "top", "mark").agg(F.min("band").alias("band")).select("band"), "mh-buckets")
+    members = materialize(every.join(buckets, "band", "left_semi"), "mh-members")
+    delete(shared, every, buckets)
 
     def with_column(pairs: DataFrame, source: DataFrame, name: str) -> DataFrame:
         u = source.select(F.col("node").alias("u"), F.col(name).alias("a"))
         v = source.select(F.col("node").alias("v"), F.col(name).alias("b"))
         return pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b")
 
+    met = materialize(members.select("node").distinct(), "mh-met")
+    signs = within(nodes.select("node", "doc_id", "th", "sig"), F.xxhash64("node"), met.select(F.xxhash64("node")))
+    signs = materialize(signs.join(met, "node", "left_semi"), "mh-signs")
+    delete(nodes, met)
     pairs = members.filter("node != pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-    likely = materialize(_prune(with_column(pairs, nodes, "sig"), percent / 100, miss).distinct(), "mh-likely")
+    likely = materialize(_prune(with_column(pairs, signs, "sig"), percent / 100, miss).distinct(), "mh-likely")
     # full sets, from the whole texts, of every node that may be compared
     open_nodes = likely.select(F.col("u").alias("node")).union(likely.select(F.col("v").alias("node"))).union(members.filter("size > 2").select("node")).distinct()
-    wanted = nodes.join(open_nodes, "node").select("node", "sig", F.col("doc_id").alias("d2"), F.col("th").alias("t2"))
-    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))).select("node", "sig", "text")
-    full = materialize(_sets(texts, shingle), "mh-sets")
+    wanted = materialize(signs.join(open_nodes, "node").select("node", F.col("doc_id").alias("d2"), F.col("th").alias("t2")).distinct(), "mh-wanted")
+    texts = within(base, F.xxhash64("doc_id", "th"), wanted.select(F.xxhash64("d2", "t2")))
+    full = _sets(texts, shingle).join(wanted, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
+    full = materialize(full.groupBy("node", "th").agg(F.first("shingles").alias("shingles")), "mh-sets", 500)
     links = materialize(_verify(with_column(likely, full, "shingles"), percent), "mh-links", 500)
     labels = components(links)
+    delete(likely, wanted, links)
 
     # buckets that still hold several components: their rest against all, but for the pivot's pairs, which are settled
     label_of = labels.select("node", "label")
@@ -292,15 +338,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = dealt.filter("rest = 1").select("band", "node", "label", place("ni").alias("i"), to("nj").alias("j"), F.lit(0).alias("side"))
     right = dealt.select("band", "node", "label", to("ni").alias("i"), place("nj").alias("j"), F.lit(1).alias("side"))
-    blocks = left.unionByName(right).join(full, "node")
-    more = materialize(blocks.groupBy("band", "i", "j").applyInPandas(_block_links(percent, miss), "u long, v long").distinct(), "mh-more")
+    blocks = left.unionByName(right).join(signs.select("node", "sig"), "node")
+    hopes = blocks.groupBy("band", "i", "j").applyInPandas(_block_hopes(percent, miss), "band long, i long, j long, side int, node long, label long")
+    hopes = materialize(hopes, "mh-hopes")
+    blocks = hopes.join(signs.select("node", "sig"), "node").join(full.select("node", "shingles"), "node")
+    more = materialize(blocks.groupBy("band", "i", "j").applyInPandas(_block_links(percent, miss), "u long, v long").distinct(), "mh-more", 500)
+    delete(signs, members, full, known, split, hopes)
     if not more.isEmpty():
-        labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(more))
+        old, labels = labels, components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(more))
+        delete(old)
+    delete(more)
 
-    judged = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    judged = ids.select("doc_id", "th", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     component = F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("label") < NO_ID, F.col("label"))
     out = judged.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("th").alias("text_hash"), "label")
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out._tables = [*ids._tables, *labels._tables]
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,19 +362,26 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, d
 
     Documents without words all stay.  Where several rows have the least id, the
     one whose text has the least hash stays; without any id in a component
-    likewise.
+    likewise; of whole rows that repeat, one.  ``docs`` is read several times, so
+    it should be a table; only rows that may have to go are shuffled.
     """
-    judged = materialize(near_duplicates(docs, shingle, percent, doc_id=doc_id, text=text).filter("label is not null"), "mh-judged")
+    found = near_duplicates(docs, shingle, percent, doc_id=doc_id, text=text)
+    judged = materialize(found.filter("label is not null").select("doc_id", "text_hash", "label", "kept"), "mh-judged")
+    delete(found)
     best = judged.filter("kept").groupBy("label").agg(F.min("text_hash").alias("least"), F.count("*").alias("rows"))
     best = materialize(best.filter("rows > 1").select("label", "least"), "mh-best")  # the least id stands in several rows
     losing = judged.filter("kept").join(best, "label").filter("text_hash != least")
-    pick = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
+    id_, hash_, k = fresh(docs.columns, "__id", "__hash", "__k")
+    pick = [F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)]
     gone = materialize(judged.filter("not kept").select(*pick).union(losing.select(*pick)).distinct(), "mh-gone")
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__hash"))
-    left = docs.join(gone, same, "left_anti")
-    again = judged.filter("kept").join(best, "label").filter("text_hash = least").groupBy(*pick).agg(F.count("*").alias("__n"))
-    again = materialize(again.filter("__n > 1").select("__id", "__hash"), "mh-again")  # whole rows that repeat
+    again = judged.filter("kept").join(best, "label").filter("text_hash = least").groupBy(*pick).agg(F.count("*").alias("rows"))
+    again = materialize(again.filter("rows > 1").select(id_, hash_), "mh-again")  # whole rows that repeat
+    delete(judged, best)
+    text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(id_)) & (text_hash == F.col(hash_))
+    key, theirs = F.xxhash64(F.col(doc_id).cast("long"), text_hash), F.xxhash64(id_, hash_)
+    left = without(docs, gone, key, theirs, same)
     if again.isEmpty():
         return left
-    many = left.join(again, same, "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy(doc_id, F.xxhash64(F.col(text))).orderBy(F.lit(0)))).filter("__k = 1").drop("__k")
-    return left.join(again, same, "left_anti").unionByName(many)
+    many = left.join(again, same, "left_semi").withColumn(k, F.row_number().over(Window.partitionBy(doc_id, text_hash).orderBy(F.lit(0)))).filter(F.col(k) == 1).drop(k)
+    return without(left, again, key, theirs, same).unionByName(many)
