@@ -54,6 +54,7 @@ def materialize(df: DataFrame, tag: str, batch_rows: int = 2_000) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
+    bound_batches(spark)
     with setting(spark, _CLEANUP, "true"), arrow_rows(spark, batch_rows):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -61,6 +62,19 @@ def materialize(df: DataFrame, tag: str, batch_rows: int = 2_000) -> DataFrame:
     return out
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, and rows that the Parquet reader decodes at once: rows are whole texts.
+BATCH_BYTES, READ_ROWS = 4 << 20, 1024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's batches are no larger than these bounds, as results are lazy plans that run later."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        now = str(spark.conf.get(key)).lower().rstrip("b")
+        size = int(now[:-1]) << {"k": 10, "m": 20, "g": 30}[now[-1]] if now[-1:] in ("k", "m", "g") else int(now)
+        if not 0 < size <= most:
+            spark.conf.set(key, str(most))
+
+
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -118,31 +132,32 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
-#: 64-bit words of a key filter, 2 MB whatever the number of keys, and words of one of its rows.
-FILTER_WORDS, _FILTER_ROW = 1 << 18, 512
+#: Most 64-bit words of a key filter (8 MB), bits for a key, and words of one row while it is made.
+FILTER_WORDS, FILTER_BITS, _FILTER_ROW = 1 << 20, 10, 512
 
 
-def key_filter(keys: DataFrame) -> tuple[Callable[[Column], Column], DataFrame]:
-    """A Bloom filter of the one column of ``keys``, 64-bit hashes: (test of a column of hashes, its table).
+def key_filter(keys: DataFrame) -> Callable[[Column], Column]:
+    """A Bloom filter of the one column of ``keys`` (a table of 64-bit hashes), as a test of a column of hashes.
 
-    It has a bit for each hash and a fixed size, so it is within any memory; more
-    keys only let more rows through.  It saves shuffling the rows that it holds
-    back, and an exact join must follow.
+    It has one bit for each hash and grows with their number up to ``FILTER_WORDS``,
+    so it fits any memory; with still more keys it only lets more rows through.  It
+    saves shuffling the rows that it holds back, and an exact join must follow.
     """
     spark, h = keys.sparkSession, F.col(keys.columns[0])
-    word = lambda x: F.pmod(x, F.lit(FILTER_WORDS)).cast("int")
+    n = max(_FILTER_ROW, min(FILTER_WORDS, 1 << (keys.count() * FILTER_BITS // 64).bit_length()))
+    word = lambda x: F.pmod(x, F.lit(n)).cast("int")
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 40).bitwiseAND(F.lit(63)).cast("int"))
-    empty = spark.range(0, FILTER_WORDS, 1, 4).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("m"))
+    empty = spark.range(0, n, 1, 1 + n // 65_536).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("m"))
     words = keys.select(word(h).alias("w"), bit(h).alias("m")).union(empty).groupBy("w").agg(F.expr("bit_or(m)").alias("m"))
     in_order = lambda c: F.transform(F.array_sort(c), lambda x: x["m"])
     rows = words.groupBy(F.floor(F.col("w") / _FILTER_ROW).alias("w")).agg(in_order(F.collect_list(F.struct(F.pmod("w", F.lit(_FILTER_ROW)).alias("w"), "m"))).alias("m"))
     bits = materialize(rows.agg(F.flatten(in_order(F.collect_list(F.struct("w", "m")))).alias("bits")), "key-filter")
-    return lambda x: F.get(bits.scalar(), word(x)).bitwiseAND(bit(x)) != 0, bits
+    return lambda x: F.get(bits.scalar(), word(x)).bitwiseAND(bit(x)) != 0
 
 
 def within(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     """The rows whose ``key``, a 64-bit hash, may be among ``keys``, without a shuffle of ``rows``."""
-    may_be, _ = key_filter(keys)
+    may_be = key_filter(keys)
     return rows.filter(may_be(key))
 
 
@@ -151,7 +166,7 @@ def without(rows: DataFrame, gone: DataFrame, key: Column, gone_key: Column, sam
 
     ``key`` and ``gone_key`` are hashes that agree wherever ``same`` holds.
     """
-    may_be, _ = key_filter(gone.select(gone_key))
+    may_be = key_filter(gone.select(gone_key))
     return rows.filter(~may_be(key)).unionByName(rows.filter(may_be(key)).join(gone, same, "left_anti"))
 
 
@@ -167,5 +182,12 @@ def shared_fs(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def small_table(spark: SparkSession, columns: dict[str, tuple]) -> DataFrame:
+    """A table from (values, Arrow type) of each column, which takes no Python worker to make."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({k: pa.array(v, t) for k, (v, t) in columns.items()}))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -26,6 +26,8 @@ PER_LABEL, EPOCHS = 1500, 3
 #: Penalties and rates of FTRL-proximal; the scale brings relative frequencies near 1.
 L1, L2, ALPHA, BETA, SCALE = 1e-3, 1e-3, 0.5, 1.0, 20.0
 _SEGMENT = 1 << 20
+#: Features whose weights are looked up at once.
+_GATHER = 1 << 16
 #: All that isn't a letter in ASCII counts as a space.
 _FOLD = np.array([c if chr(c).isalpha() else 32 for c in range(128)], np.uint32)
 UNKNOWN = "und"
@@ -61,7 +63,8 @@ class Model:
             return UNKNOWN, 0.0
         total, n = np.zeros(len(self.labels)), 0
         for g in grams(text):
-            total += self.weights[g].sum(axis=0, dtype=np.float64)
+            for i in range(0, len(g), _GATHER):
+                total += self.weights[g[i : i + _GATHER]].sum(axis=0, dtype=np.float64)
             n += len(g)
         z = total * (SCALE / n) + self.bias
         p = np.exp(z - z.max())
@@ -158,8 +161,11 @@ def train(docs: DataFrame, learn_from: Column | None = None, doc_id: str = "doc_
     """A model of the labels in ``lang``, from the rows where ``learn_from`` holds and id, text and label are not null.
 
     Statistics cover all of these rows; weights are fitted to about ``per_label``
-    rows of each label, those with the least seeded hashes of their ids.  Without
-    any such row the model has no labels and answers "und".
+    rows of each label, those with the least seeded hashes of their ids.  Rows
+    that repeat an id have one hash and are taken or left together, so many of
+    them make the sample larger.  Empty texts and texts without letters teach
+    nothing, long ones are read whole, other columns don't matter.  Without any
+    usable row the model has no labels and answers "und".
     """
     usable = F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull()
     rows = docs.filter(usable if learn_from is None else usable & learn_from).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("r"))
@@ -220,7 +226,12 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with ``min_score`` at least."""
+    """The rows of ``docs``, all columns, whose language is known with ``min_score`` at least.
+
+    Null and empty texts and texts without letters go, whatever the score asked
+    for; repeated rows stay or go together; null ids don't matter; an empty table
+    stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 

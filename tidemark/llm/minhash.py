@@ -31,7 +31,7 @@ BATCH = 32
 #: Nodes of one side of a block of comparisons.
 BLOCK = 128
 #: Distinct words whose hash a worker remembers.
-_WORDS = 200_000
+_WORDS = 100_000
 #: Nodes without any id are numbered from here; ids must be smaller.
 NO_ID = 1 << 62
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
