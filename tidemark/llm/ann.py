@@ -1,23 +1,27 @@
 """Approximate nearest neighbours by robust-pruned directed graphs.
 
 Vectors are dealt into shards of bounded size.  In each shard a graph is built:
-greedy searches from a fixed start propose neighbours for a batch of vectors,
+greedy searches from a fixed start propose neighbours for a batch of vertices,
 relaxed distance pruning keeps the diverse ones, and reverse edges are pruned the
-same way.  Queries are answered by a beam search in every shard; what the shards
-find is scored in double precision on the original vectors and merged.
+same way.  Vectors of one direction are one vertex.  Each shard's index is read
+once, and all queries stream past it: a beam search finds vertices, whose vectors
+are scored in double precision; what the shards find is merged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize, release
 
-#: Vectors of a shard, about; queries that meet a shard in one task.
-SHARD, QUERY_BLOCK = 8_000, 2_000
+#: Vectors of a shard, about; digits in which unit vectors of one direction agree.
+SHARD, DIGITS = 8_000, 9
 #: Out-degree after pruning and at most, beam while building and searching, slack of pruning.
 DEGREE, MOST, BUILD_BEAM, BEAM, ALPHA = 32, 48, 64, 96, 1.2
 #: Vertices expanded at once, searches in one array operation.
@@ -163,24 +167,27 @@ def _vectors(column) -> np.ndarray:
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["h1", "h2"])
     vectors = _vectors(pdf["vector"])
-    graph = Graph(_unit(vectors)) if len(pdf) > SCAN else None
-    ids = pdf["ids"].tolist()
+    unit = _unit(vectors)
+    _, at, vertex, members = np.unique(np.round(unit, DIGITS) + 0.0, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(vertex.ravel(), kind="stable")  # vectors of one vertex stand together
+    graph = Graph(unit[at]) if len(at) > SCAN else None
+    ids = [pdf["ids"].iloc[i] for i in order]
     return pd.DataFrame({
-        "dim": [vectors.shape[1]], "shard": [int(pdf["shard"].iloc[0])], "n": [len(pdf)], "start": [graph.start if graph else -1],
-        "vectors": [vectors.tobytes()], "links": [graph.links.tobytes() if graph else b""],
+        "dim": [vectors.shape[1]], "shard": [int(pdf["shard"].iloc[0])], "start": [graph.start if graph else -1],
+        "vectors": [vectors[order].tobytes()], "members": [members.astype("<i4").tobytes()], "links": [graph.links.tobytes() if graph else b""],
         "counts": [np.array([len(x) for x in ids], "<i4").tobytes()], "ids": [np.concatenate([np.asarray(x, "<i8") for x in ids]).tobytes()],
     })
 
 
-_INDEX = "dim int, shard int, n long, start int, vectors binary, links binary, counts binary, ids binary"
+_INDEX = "dim int, shard int, start int, vectors binary, members binary, links binary, counts binary, ids binary"
 
 
 def build_index(table: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", shard_size: int = SHARD) -> DataFrame:
     """A row for each shard with its graph, of every usable vector in ``table``.
 
-    Equal vectors are one vertex, which carries its ``k + 1`` smallest ids: more
-    can't be among the nearest.  Null ids take no part; vectors of different
-    lengths are kept in different shards.  Graphs are rebuilt alike on a lost executor.
+    Equal vectors are kept once, with their ``k + 1`` smallest ids: more can't be
+    among the nearest.  Null ids take no part; vectors of different lengths are
+    kept in different shards.  Graphs are rebuilt alike on a lost executor.
     """
     rows = table.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).filter(F.col("id").isNotNull() & usable(F.col("vector")))
     rows = rows.select("id", "vector", F.size("vector").alias("dim"), F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
@@ -194,56 +201,83 @@ def build_index(table: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: st
     return own.groupBy("dim", "shard").applyInPandas(_build, _INDEX)
 
 
-def _ask(k: int, beam: int):
-    def ask(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
-        if len(queries) and len(index):
-            row = index.iloc[0]
-            n, dim = int(row["n"]), int(row["dim"])
-            vectors = np.frombuffer(row["vectors"], np.float64).reshape(n, dim)
-            counts, ids = np.frombuffer(row["counts"], "<i4"), np.frombuffer(row["ids"], "<i8")
-            begin = np.cumsum(counts) - counts
-            norm = np.sqrt((vectors * vectors).sum(axis=1))
-            cosines = lambda near, q: (vectors[near] * q).sum(axis=1) / (norm[near] * np.sqrt((q * q).sum()))
-            graph = Graph(_unit(vectors), np.frombuffer(row["links"], np.int32).reshape(n, MOST), int(row["start"])) if row["start"] >= 0 else None
-            asked, qids = _vectors(queries["vector"]), queries["query_id"].tolist()
-            for i in range(0, len(asked), STEP):
-                part = asked[i : i + STEP]
-                found = graph.search(_unit(part).astype(np.float32), beam)[0] if graph else np.broadcast_to(np.arange(n), (len(part), n))
-                for j, near in enumerate(found):
-                    near = near[near >= 0]
-                    score = cosines(near, part[j])
-                    best = -np.sort(-score)[: k + 2]
-                    if graph and (best[:-1] - best[1:] <= TIE).any():  # more of the tied may lie outside the beam
-                        near = np.arange(n)
-                        score = cosines(near, part[j])
-                    order, rows = np.argsort(-score, kind="stable"), []
-                    enough = min(int(np.searchsorted(np.cumsum(counts[near[order]]), k + 1)), len(order) - 1)  # the query's own id may be among them
-                    for m in order[: max(enough + 1, np.count_nonzero(score >= score[order[enough]]))].tolist():
-                        b = begin[near[m]]
-                        rows += [(-float(score[m]), int(x)) for x in ids[b : b + counts[near[m]]] if x != qids[i + j]]
-                    out += [(qids[i + j], x, -s) for s, x in sorted(rows)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    return ask
-
-
-def search(index: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", beam: int = BEAM, query_block: int = QUERY_BLOCK) -> DataFrame:
+class _Shard:
+    """A shard's index as it was built, and its answers."""
+
+    def __init__(self, row: dict):
+        self.vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
+        self.members, self.counts, self.ids = (np.frombuffer(row[c], t) for c, t in (("members", "<i4"), ("counts", "<i4"), ("ids", "<i8")))
+        self.first = np.cumsum(self.members) - self.members  # of a vertex, among vectors
+        self.begin = np.cumsum(self.counts) - self.counts  # of a vector, among ids
+        self.norm = np.sqrt((self.vectors * self.vectors).sum(axis=1))
+        n = len(self.members)
+        self.graph = Graph(_unit(self.vectors[self.first]), np.frombuffer(row["links"], np.int32).reshape(n, MOST), row["start"]) if row["start"] >= 0 else None
+
+    def _cosines(self, near: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return (self.vectors[near] * q).sum(axis=1) / (self.norm[near] * np.sqrt((q * q).sum()))
+
+    def nearest(self, asked: np.ndarray, qids: list[int], k: int, beam: int) -> Iterator[tuple[int, int, float]]:
+        """(query's id, id, cosine): the ``k`` nearest of each query that were found, ties by the smaller id."""
+        every = np.arange(len(self.vectors))
+        found = self.graph.search(_unit(asked).astype(np.float32), beam)[0] if self.graph else [None] * len(asked)
+        for q, qid, vertices in zip(asked, qids, found, strict=True):
+            near = every
+            if vertices is not None:
+                vertices = vertices[vertices >= 0]
+                size = self.members[vertices]
+                near = np.repeat(self.first[vertices], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            score = self._cosines(near, q)
+            if vertices is not None:
+                own = np.maximum.reduceat(score, np.cumsum(size) - size)  # of each vertex
+                best = -np.sort(-own)[: k + 2]
+                if (best[:-1] - best[1:] <= TIE).any():  # more of the tied may lie outside the beam
+                    near, score = every, self._cosines(every, q)
+            order, rows = np.argsort(-score, kind="stable"), []
+            enough = min(int(np.searchsorted(np.cumsum(self.counts[near[order]]), k + 1)), len(order) - 1)  # the query's own id may be among them
+            for m in order[: max(enough + 1, np.count_nonzero(score >= score[order[enough]]))].tolist():
+                b = self.begin[near[m]]
+                rows += [(-float(score[m]), int(x)) for x in self.ids[b : b + self.counts[near[m]]] if x != qid]
+            yield from ((qid, x, -s) for s, x in sorted(rows)[:k])
+
+
+def _answers(k: int, beam: int):
+    def answer(batches):
+        """Rows come by shard, its index before the queries."""
+        shard = None
+        for batch in batches:
+            pending: list[dict] = []
+            for row in [*batch.to_pylist(), None]:
+                if row is not None and row["vectors"] is None:
+                    pending.append(row)
+                if pending and (row is None or row["vectors"] is not None or len(pending) == STEP):
+                    out = list(shard.nearest(_vectors([r["vector"] for r in pending]), [r["query_id"] for r in pending], k, beam)) if shard else []
+                    pending = []
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+                if row is not None and row["vectors"] is not None:
+                    shard = _Shard(row)
+        release()
+
+    return answer
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", beam: int = BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found, by cosine, never its own id.
 
     Ties go to the smaller id.  Queries with an unusable vector or a null id have
     no rows; repeated queries are one; with fewer candidates than ``k`` there are
     as many rows as candidates.
     """
+    spark = queries.sparkSession
+    bound_batches(spark)
     index = materialize(index, "ann-index")
     asked = queries.select(F.col(vec_id).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("vector")).filter(F.col("query_id").isNotNull() & usable(F.col("vector"))).distinct()
     asked = materialize(asked.withColumn("dim", F.size("vector")), "ann-queries")
-    blocks = max(1, -(-asked.count() // query_block))
     shards = index.groupBy("dim").agg(F.max("shard").alias("last"))
-    # every query meets every shard: queries in blocks, a task for a block and a shard
-    dealt = asked.join(shards, "dim").select("query_id", "vector", "dim", F.explode(F.sequence(F.lit(0), "last")).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    key = ["dim", "shard", "block"]
-    found = dealt.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(_ask(k, beam), "query_id long, vec_id long, score double")
+    # every query meets every shard; a shard's index moves once
+    dealt = asked.join(shards, "dim").select("dim", F.explode(F.sequence(F.lit(0), "last")).alias("shard"), "query_id", "vector")
+    stream = index.unionByName(dealt, allowMissingColumns=True)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stream = stream.repartition(tasks, "dim", "shard").sortWithinPartitions("dim", "shard", F.col("vectors").isNull())
+    found = materialize(stream.mapInArrow(_answers(k, beam), "query_id long, vec_id long, score double"), "ann-found", 256)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
