@@ -12,13 +12,16 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, small_table
 
 #: Rules up to this number are literals of the plan; more are joined.
 INLINE_RULES = 256
+#: Keys over which rules that always run are spread where rules are joined.
+SPREAD = 64
 _TOKEN = r"[A-Za-z0-9\x{80}-\x{10FFFF}]+"
 _TOKEN_PY = re.compile(r"[A-Za-z0-9\x80-\U0010FFFF]+")
 
@@ -88,6 +91,10 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "al
     rule fits the empty string.  Equal URLs have equal verdicts; an empty table
     stays empty.  Ties of rank go to "block", then to the smaller text.
     """
+    taken = {c: f"{c}_{i}" for i, c in enumerate(df.columns) if c.lower() in ("__host", "__path", "__target", "__fit", "__best", "t")}
+    if taken:  # columns of these names step aside
+        back = judge(df.withColumnsRenamed(taken), rules, taken.get(url, url), default, inline)
+        return back.withColumnsRenamed({v: k for k, v in taken.items()})
     host, path = split_url(F.col(url))
     base = df.withColumns({"__host": host, "__path": path})
     base = base.withColumn("__target", F.concat("__host", "__path"))
@@ -105,12 +112,17 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "al
             fetched = F.concat(always, F.flatten(F.transform(F.array_intersect(_tokens(F.col("__target")), F.array(*map(F.lit, keys))), lambda t: F.element_at(by_token, t))))
         judged = base.withColumn("__fit", F.filter(fetched, lambda r: F.call_function("rlike", F.col("__target"), r["pattern"]))).withColumn("__best", F.expr(best))
     else:
-        rows = [(t, r.rank, int(r.action == "block"), r.text, r.pattern) for t, own in index.items() for r in (rules[i] for i in own)]
-        listed = df.sparkSession.createDataFrame(rows, "t string, rank int, stop int, text string, pattern string")
-        tokens = base.select("__target").distinct().withColumn("t", F.explode(F.concat(F.array(F.lit("")), _tokens(F.col("__target")))))
+        # each URL asks for the rules without a sure token, too: under one of SPREAD keys, so that no key is all URLs'
+        own = [(t, rules[i]) for t, at in index.items() if t for i in at] + [(f" {k}", rules[i]) for k in range(SPREAD) for i in index.get("", [])]
+        listed = small_table(df.sparkSession, {
+            "t": ([t for t, _ in own], pa.string()), "rank": ([r.rank for _, r in own], pa.int32()), "stop": ([int(r.action == "block") for _, r in own], pa.int32()),
+            "text": ([r.text for _, r in own], pa.string()), "pattern": ([r.pattern for _, r in own], pa.string()),
+        })
+        spread = F.concat(F.lit(" "), F.pmod(F.xxhash64("__target"), F.lit(SPREAD)).cast("string"))
+        tokens = base.select("__target").distinct().withColumn("t", F.explode(F.concat(F.array(spread), _tokens(F.col("__target")))))
         fit = tokens.join(listed, "t").filter("rlike(__target, pattern)")
-        # the smaller text wins a tie: reversed code points make it the larger value
-        won = fit.groupBy("__target").agg(F.expr("max_by(struct(rank, stop, text, pattern), struct(rank, stop, transform(split(text, ''), c -> -ascii(c))))").alias("__best"))
+        # the smaller text wins a tie: negated code points and a last 1 make it the larger value, and a text larger than what it begins
+        won = fit.groupBy("__target").agg(F.expr("max_by(struct(rank, stop, text, pattern), struct(rank, stop, concat(transform(split(text, ''), c -> -ascii(c)), array(1))))").alias("__best"))
         judged = base.join(won, "__target", "left")
     out = {"host": F.col("__host"), "path": F.col("__path"), "rule": F.col("__best.text"), "verdict": F.when(F.col("__best.stop") == 1, "block").when(F.col("__best.stop") == 0, "allow").otherwise(default)}
     return judged.withColumns(out).drop("__host", "__path", "__target", "__fit", "__best")
