@@ -330,7 +330,12 @@ def read_archives(spark: SparkSession, manifest: list[dict], payloads: bool = Fa
                         records += isinstance(x, Record)
                         if whole and isinstance(x, Gap):
                             raise ValueError(f"{own['path']}: bytes {x.start} to {x.end} are no record: {x.reason}")
-                        out.append(_row(x, own["path"], payloads))
+                        try:
+                            out.append(_row(x, own["path"], payloads))
+                        except ValueError as e:  # an id that is no number
+                            if whole:
+                                raise
+                            out.append(_row(Gap(x.start, x.end, f"damaged header: {e}"), own["path"], payloads))
                         held += len(out[-1][-1] or b"") if payloads else 0
                         if len(out) == 5_000 or held > 16 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -348,6 +353,11 @@ def _row(x: Record | Gap, path: str, payloads: bool) -> tuple:
     if isinstance(x, Gap):
         return (None, None, None, None, None, None, x.start, x.end, x.reason, path) + ((None,) if payloads else ())
     h = x.headers
-    number = lambda k: int(h[k]) if k in h else None
+
+    def number(k: str) -> int | None:
+        if k in h and not re.fullmatch(r"-?[0-9]{1,18}", h[k]):
+            raise ValueError(f"{k} is no number")
+        return int(h[k]) if k in h else None
+
     row = (number("x-page-id"), h.get("warc-target-uri"), x.payload_length, h.get("warc-payload-digest", "").removeprefix("sha1:"), x.type, number("x-refers-to-page-id"), None, None, None, path)
     return row + ((x.payload if x.type == "response" else None,) if payloads else ())
