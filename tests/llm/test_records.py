@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, langid, mixing, sharding, token_sst, url_filter, warc
+from tidemark.llm.common import materialize, within, without
 from tidemark.llm.fast_tokens import Encoder
 
 P = pytest.importorskip("public_tokenizers")
@@ -37,6 +38,14 @@ def test_url_rules(spark, inline):
     assert url_filter.judge(df.limit(0), rules, inline=inline).count() == 0 and url_filter.judge(df, []).filter("verdict = 'allow'").count() == len(rows)
 
 
+@pytest.mark.parametrize("inline", [256, 0])
+def test_ties_of_rank_go_to_block_then_to_the_smaller_text(spark, inline):
+    rules = [url_filter.Rule(t, p, a, 7) for t, p, a in (("b", "x", "allow"), ("ab", "x", "allow"), ("a", "x", "allow"), ("z", "y", "allow"), ("zz", "y", "block"))]
+    df = spark.createDataFrame([("http://x/",), ("http://y/",), ("http://q/",)], "url string").withColumns({"__host": F.lit(1), "T": F.lit(2)})
+    out = url_filter.judge(df, rules, inline=inline)
+    assert sorted((r["url"], r["rule"], r["verdict"], r["__host"], r["T"]) for r in out.collect()) == [("http://q/", None, "allow", 1, 2), ("http://x/", "a", "allow", 1, 2), ("http://y/", "zz", "block", 1, 2)]
+
+
 def test_rules_stand_under_their_rarest_token(spark):
     df = spark.createDataFrame([("http://a.example.org/es/",)] * 3 + [("http://b.org/",)], "url string")
     t = df.select(F.concat(*url_filter.split_url(F.col("url"))).alias("__target"))
@@ -76,6 +85,16 @@ def test_reading_whole_archives_fails_on_gaps_and_missing_records(spark, tmp_pat
             warc.read_archives(spark, manifest, whole=True).collect()
 
 
+def test_an_id_that_is_no_number_is_damage(spark, tmp_path):
+    parts = [warc.gzip_member(warc.record_bytes([("WARC-Type", "response"), ("X-Page-Id", i)], b"HTTP/1.1 200 OK\r\n\r\nx")) for i in ("1", "1x", "9" * 30, "2")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts))
+    manifest = [{"path": str(tmp_path / "a.warc.gz"), "records": 4, "bytes": 0, "root": str(tmp_path)}]
+    got = warc.read_archives(spark, manifest).collect()
+    assert [r["page_id"] for r in got if r["gap_end"] is None] == [1, 2]
+    ends = np.cumsum([0, *map(len, parts)]).tolist()
+    assert [(r["gap_start"], r["gap_end"]) for r in got if r["gap_end"] is not None] == [(ends[1], ends[2]), (ends[2], ends[3])]
+
+
 def test_plain_records_with_long_headers():
     plain = warc.record_bytes([("WARC-Type", "warcinfo"), ("X-Note", "n" * (5 << 20))], b"hello")
     assert [type(x).__name__ for x in warc.salvage(io.BytesIO(plain + plain))] == ["Record", "Record"]
@@ -215,6 +234,53 @@ def test_shards_are_near_equal_and_gapless(spark):
     assert sharding.shard_by_bytes(df.limit(0)).count() == 0 and sharding.shard_by_bytes(df.limit(3)).count() == 3
 
 
+def test_equal_texts_share_a_shard(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [f"text {i} " + "w " * rng.randrange(200) for i in range(2000)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(5_000 + i, texts[rng.randrange(40)]) for i in range(400)]  # groups of about ten
+    rows += [(6_000 + i, "a middling group " * 4) for i in range(60)] + [(7_000 + i, "hot " * 30) for i in range(1500)]
+    rows += [(8_000, "long " * 3000), (None, "null id"), (None, "null id"), (8_001, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard_by_bytes(df, 12, range_rows=100).collect()
+    quota = sum(r["size"] for r in got) / 12
+    where, bytes_, slots = {}, {}, {}
+    of = {(d, zlib.crc32((t or "").encode())): t for d, t in rows}
+    for r in got:
+        t = of[r["doc_id"], r["text_crc32"]]
+        where.setdefault(t, set()).add(r["shard"])
+        bytes_[t] = bytes_.get(t, 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(len(s) == 1 or bytes_[t] > quota for t, s in where.items()) and len(where["hot " * 30]) > 1
+    held = [sum(r["size"] for r in got if r["shard"] == i) for i in range(12)]
+    assert max(held) - min(held) <= quota / 20
+    marked = df.withColumn("shard", F.lit("mine"))
+    sharding.write_shards(marked, sharding.shard_by_bytes(df, 12, range_rows=100), f"file://{tmp_path}/out")
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert sorted(map(repr, back.select("doc_id", "text").collect())) == sorted(map(repr, df.collect()))
+    assert {(r["shard"], r["n"]) for r in back.groupBy("shard").agg(F.count("*").alias("n")).collect()} == {(i, len(s)) for i, s in slots.items()}
+
+
+def test_groups_are_placed_and_room_is_levelled():
+    where, room = sharding.place_groups([(1, 50), (2, 30), (3, 30), (4, 10)], 60, 3)
+    assert len({where[1], where[2], where[3]}) == 3 and where[4] in (where[2], where[3])
+    assert sum(room) == pytest.approx(60) and sorted(room) == pytest.approx([10, 20, 30])
+    assert sharding.place_groups([(1, 90)], 50, 2)[1] == pytest.approx([0, 10])
+    assert sharding.place_groups([], 5, 2) == ({}, [5, 5])
+
+
+def test_key_filter_holds_back_what_is_not_among_its_keys(spark):
+    keys = materialize(spark.range(0, 3000, 3).select(F.xxhash64("id").alias("h")), "test-keys")
+    rows = spark.range(3000)
+    for k in (keys, keys.limit(0)):
+        let = {r["id"] for r in within(rows, F.xxhash64("id"), materialize(k, "test-keys")).collect()}
+        assert let >= (set(range(0, 3000, 3)) if k is keys else set()) and len(let) < (1500 if k is keys else 1)
+    gone = keys.select(F.col("h").alias("g"))
+    left = without(rows, gone, F.xxhash64("id"), F.col("g"), F.xxhash64("id") == F.col("g"))
+    assert sorted(r["id"] for r in left.collect()) == [i for i in range(3000) if i % 3]
+
+
 def test_budget_is_met_where_it_can_be():
     rng = random.Random(4)
     for _ in range(60):
@@ -294,6 +360,25 @@ def test_whole_texts_in_segments_give_the_same_features():
         langid._SEGMENT = old
 
 
+def test_probabilities_match_a_plain_recomputation():
+    rng = np.random.default_rng(2)
+    model = langid.Model(["de", "en", "fr"], rng.normal(size=(langid.DIM, 3)).astype(np.float32), rng.normal(size=3))
+    for text in ("The quick brown fox", "Über 9 Straßen!", "日本語のテキスト", "x", "A" * 5000 + " b"):
+        counts = {}
+        padded = [ord(c) if ord(c) > 127 or c.isalpha() else 32 for c in f" {text.lower()} "]
+        for n in langid.GRAMS:
+            for i in range(len(padded) - n + 1):
+                h = padded[i]
+                for c in padded[i + 1 : i + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+                f = ((h * 0x9E3779B1 + n * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - langid.BITS)
+                counts[f] = counts.get(f, 0) + 1
+        z = model.bias + sum(c * model.weights[f].astype(float) for f, c in counts.items()) * langid.SCALE / sum(counts.values())
+        p = np.exp(z) / np.exp(z).sum()
+        lang, score = model.predict(text)
+        assert lang == model.labels[int(np.argmax(p))] and score == pytest.approx(p.max(), rel=1e-9)
+
+
 def test_neighbours_with_awkward_vectors(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(900, 8)).round(3)
@@ -301,7 +386,7 @@ def test_neighbours_with_awkward_vectors(spark):
     rows += [(2000, None), (2050, [0.0] * 8), (2100, [1.0] * 7 + [float("nan")]), (2150, [1.0] * 7 + [None]), (2200, [float("inf")] * 8), (None, v[1].tolist()), (50, v[50].tolist()), (2250, [1.0, 2.0]), (2300, [2.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"shard": F.lit(1), "dim": F.lit(2), "ids": F.lit(3)})
     got = {}
-    for r in ann.search(ann.build_index(df, shard_size=500), df.filter("vec_id % 50 = 0"), query_block=7).collect():
+    for r in ann.search(ann.build_index(df, shard_size=500), df.filter("vec_id % 50 = 0")).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     good = {(i, tuple(x)) for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(x).all() and any(x)}
     hits = total = 0
@@ -340,6 +425,31 @@ def test_tied_vectors_give_the_smaller_ids(spark, n):
     assert sorted(r["vec_id"] for r in got) == sorted(set(ids) - set(one))[:5]
 
 
+def test_scaled_copies_are_one_vertex_in_each_of_several_shards(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(1800, 16))
+    v[600:900] = v[0] * rng.uniform(0.1, 9, 300)[:, None]  # one direction
+    v[900:1000:2] = v[901:1000:2] * rng.uniform(0.1, 9, 50)[:, None]  # pairs
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    asked = [*range(0, 1800, 90), 700, *range(900, 1000, 10)]
+    got = {}
+    for r in ann.search(ann.build_index(df, shard_size=600), df.filter(F.col("vec_id").isin(asked))).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for q in asked:
+        want = unit @ unit[q]
+        want[q] = -2
+        mine = sorted(got[q])
+        assert len({i for _, i, _ in mine}) == 5 and all(abs(s - want[i]) < 1e-12 for _, i, s in mine)
+        hits += sum(s >= np.sort(want)[-5] - 1e-12 for _, _, s in mine)
+        if q == 0 or 600 <= q < 900:
+            assert all(s > 1 - 1e-12 for _, _, s in mine)
+        if 900 <= q < 1000:
+            assert mine[0][1] == q ^ 1
+    assert hits >= 0.95 * 5 * len(asked)
+
+
 @pytest.mark.parametrize("kind", ["random", "clustered", "copies"])
 def test_recall_in_a_shard_of_full_size(kind):
     rng, n, d = np.random.default_rng(1), ann.SHARD, 64
