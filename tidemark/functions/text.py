@@ -14,7 +14,7 @@ from .scalar import Name, col
 #: Frequent wrong decodings and typographic characters, replaced in this order.
 ENCODING_FIXES = [("â€™", "'"), ("â€œ", '"'), ("â€\x9d", '"'), ("â€”", "-"), ("â€“", "-"), ("Â", ""), ("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-"), ("…", "..."), (" ", " ")]
 #: Abbreviations whose dot ends no sentence.
-ABBREVIATIONS = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "Inc", "Corp", "Ltd", "Co", "vs", "etc", "approx", "No", "Q1", "Q2", "Q3", "Q4", "U.S", "U.K"]
+ABBREVIATIONS = ["Mr", "Ms", "Mrs", "Dr", "Prof", "Sr", "Jr", "vs", "etc", "Corp", "Inc", "Ltd", "Co", "LLC", "LP", "LLP", "No", "Vol", "pp", "ed", "rev", "approx", "est", "avg", "max", "min", "FY", "YoY", "QoQ", "U.S", "U.K", "E.U", "Q1", "Q2", "Q3", "Q4", "H1", "H2"]
 #: Stands for a protected dot.
 GUARD = "⁠"
 
@@ -130,9 +130,9 @@ def type_token_ratio(tokens: Name) -> Column:
 
 
 def sentences(c: Name, least_chars: int = 1) -> Column:
-    """Parted after . ! or ? where white space and a capital, a quote or a digit follow; abbreviations don't part."""
+    """Parted after . ! or ? where white space and a capital, a quote or a digit follow; abbreviations and initials don't part."""
     t = F.coalesce(col(c), F.lit(""))
-    t = F.regexp_replace(t, r"\b(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.", "$1" + GUARD)
+    t = F.regexp_replace(t, r"(^|[^\p{L}\p{N}_])(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"|[A-Z])\.", "$1$2" + GUARD)
     parts = F.split(t, r"(?<=[.!?])[ \t\n\r]+(?=[A-Z\"'0-9])")
     parts = F.transform(parts, lambda s: F.btrim(F.replace(s, F.lit(GUARD), F.lit(".")), F.lit(" \t\n\r")))
     return F.filter(parts, lambda s: F.length(s) >= least_chars)

@@ -51,8 +51,8 @@ def calendar_days(session_dim: DataFrame) -> DataFrame:
     ends = session_dim.agg(F.min("date").alias("a"), F.max("date").alias("b"))
     days = ends.select(F.explode(F.sequence("a", "b")).alias("date"))
     both = days.join(session_dim.select("date", F.col("date").alias("s")), "date", "left")
-    back, ahead = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("date").rowsBetween(1, Window.unboundedFollowing)
-    out = both.select("date", F.col("s").isNotNull().alias("is_session"), F.last("s", True).over(back).alias("prev_session"), F.first("s", True).over(ahead).alias("next_session"))
+    back, ahead = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("date", F.col("date").desc()))
+    out = both.select("date", F.col("s").isNotNull().alias("is_session"), F.last("s", True).over(back).alias("prev_session"), F.last("s", True).over(ahead).alias("next_session"))
     return out.withColumn("on_or_after", F.when(F.col("is_session"), F.col("date")).otherwise(F.col("next_session")))
 
 

@@ -9,8 +9,9 @@ from ..functions import text as tx
 
 #: Recurring passages of call transcripts.
 BOILERPLATE = [
-    r"(?is)this (call|conference) (is|may be) (being )?recorded[^.]*\.", r"(?is)forward[- ]looking statements?[^.]*\.", r"(?i)\[operator instructions\]", r"(?i)\(operator instructions\)",
-    r"(?is)safe harbor[^.]*\.", r"(?i)ladies and gentlemen,?", r"(?is)copyright ©?[^.\n]*(\.|\n)", r"(?i)all rights reserved\.?", r"(?im)^page \d+( of \d+)?$",
+    r"(?i)this (?:conference call )?transcript is produced by.*?\.", r"(?i)this call (?:is being )?recorded.*?\.", r"(?i)safe.harbor statement.*?(?:forward.looking statements?).*?\.", r"(?i)forward.looking statements? (?:involve|are subject to).*?\.",
+    r"(?i)\[operator instructions?\]", r"(?i)\[technical difficulty\]", r"(?i)operator[:\s]+(?:good (?:morning|afternoon|evening)[^.]*\.)", r"(?i)thank you for standing by[^.]*\.", r"(?i)ladies and gentlemen[^.]*(?:thank you|welcome)[^.]*\.",
+    r"(?i)this concludes today's (?:conference )?call[^.]*\.", r"(?i)please go ahead[,.]?", r"(?i)your (?:next|first) question comes from[^.]*\.", r"(?i)we'll now take (?:our )?(?:first|next) question[^.]*\.",
 ]
 
 

@@ -24,16 +24,17 @@ def number_sessions(market: DataFrame, by_ticker: bool = True) -> DataFrame:
 def on_or_after(events: DataFrame, sessions: DataFrame, date: str = "event_date") -> DataFrame:
     """Adds the first session on or after the event, ``aligned_event_date`` and ``session_no``; null past the last one.
 
-    Events and sessions are merged in one order and the next session is carried
-    back, so that no pair of event and session is formed.
+    Each session stands for the days since the one before, so the event's day
+    finds its session by an equi-join, which the planner can broadcast or split
+    where one ticker has most events.  Days before the first session count as it.
     """
-    e = events.withColumns({"__at": F.col(date), "__kind": F.lit(0), "__no": F.lit(None).cast("int")})
-    s = sessions.select("ticker", F.col("date").alias("__at"), F.lit(1).alias("__kind"), F.col("session_no").alias("__no"))
-    both = e.unionByName(s, allowMissingColumns=True)
-    ahead = Window.partitionBy("ticker").orderBy("__at", "__kind").rowsBetween(0, Window.unboundedFollowing)
-    nearest = F.first(F.when(F.col("__kind") == 1, F.struct(F.col("__at").alias("d"), F.col("__no").alias("n"))), ignorenulls=True).over(ahead)
-    out = both.withColumn("__s", nearest).filter("__kind = 0")
-    return out.withColumns({"aligned_event_date": F.col("__s.d"), "session_no": F.col("__s.n")}).drop("__at", "__kind", "__no", "__s")
+    before = F.lag("date").over(Window.partitionBy("ticker").orderBy("date"))
+    days = F.sequence(F.coalesce(F.date_add(before, 1), F.col("date")), F.col("date"))
+    by_day = sessions.select("ticker", F.col("date").alias("aligned_event_date"), "session_no", days.alias("__days")).withColumn("__day", F.explode("__days")).drop("__days")
+    first = sessions.groupBy("ticker").agg(F.min("date").alias("__first"))
+    at = F.date_add(F.to_date(date), (F.col(date) > F.to_date(date)).cast("int"))  # a time of day is past its day's session
+    e = events.drop("aligned_event_date", "session_no").join(first, "ticker", "left").withColumn("__day", F.when(at.isNotNull(), F.greatest(at, F.col("__first"))))
+    return e.join(by_day, ["ticker", "__day"], "left").select(*[F.col(c) for c in e.columns if c not in ("__day", "__first")], "aligned_event_date", "session_no")
 
 
 def event_windows(events: DataFrame, sessions: DataFrame, pre: int, post: int) -> DataFrame:

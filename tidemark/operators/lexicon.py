@@ -96,19 +96,21 @@ def weight(strategy: str) -> Column:
 def aggregate(df: DataFrame, keys: list[str], strategy: str = "token", threshold: float = 0.02) -> DataFrame:
     """Weighted mean and population deviation of the tone, median, label shares, totals.
 
-    A group whose weights are all 0 counts its rows alike.  The deviation takes a
-    second look at the rows with the mean at hand.
+    A group whose weights are all 0 counts its rows alike.  All are sums with
+    partial aggregation, so that no group is gathered but for its median.
     """
-    w = Window.partitionBy(*keys)
-    raw = weight(strategy)
-    base = df.withColumn("__w", F.when(F.sum(raw).over(w) == 0, 1.0).otherwise(raw))
-    base = base.withColumn("__m", F.sum(F.col("tone_score") * F.col("__w")).over(w) / F.sum("__w").over(w))
+    w, x = weight(strategy), F.col("tone_score")
+    moments = lambda v, name: [F.sum(v).alias(f"__{name}0"), F.sum(F.when(x.isNotNull(), v)).alias(f"__{name}n"), F.sum(v * x).alias(f"__{name}1"), F.sum(v * x * x).alias(f"__{name}2")]
     lab = label_inclusive("tone_score", threshold, "neutral")
-    out = base.groupBy(*keys).agg(
-        F.max("__m").alias("mean_tone"), F.sqrt(F.sum(F.col("__w") * F.pow(F.col("tone_score") - F.col("__m"), F.lit(2))) / F.sum("__w")).alias("std_tone"), F.median("tone_score").alias("median_tone"),
+    out = df.groupBy(*keys).agg(
+        *moments(w, "w"), *moments(F.lit(1.0), "u"), F.median("tone_score").alias("median_tone"),
         *[F.avg((lab == x).cast("double")).alias(f"{x}_share") for x in ("positive", "neutral", "negative")],
         F.count("*").alias("chunk_count"), F.sum("total_tokens").alias("total_tokens"), *[F.sum(F.coalesce(f"{c}_count", F.lit(0))).alias(f"{c}_total") for c in CATEGORIES],
     )
+    pick = {k: F.when(F.col("__w0") == 0, F.col(f"__u{k}")).otherwise(F.col(f"__w{k}")) for k in ("0", "n", "1", "2")}
+    mean = F.try_divide(pick["1"], pick["0"])
+    spread = F.try_divide(pick["2"] - 2 * mean * pick["1"] + mean * mean * pick["n"], pick["0"])
+    out = out.withColumns({"mean_tone": mean, "std_tone": F.sqrt(F.greatest(spread, F.lit(0.0)))}).drop(*[f"__{v}{k}" for v in "wu" for k in pick])
     return out.withColumn("label", label_inclusive("mean_tone", threshold, "neutral"))
 
 

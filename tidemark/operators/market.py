@@ -21,8 +21,8 @@ def _days(key: str = "ticker", day: str = "date"):
 
 
 def dedupe_days(df: DataFrame, key: str = "ticker", day: str = "date", sequence: str | None = None) -> DataFrame:
-    """One row for each ticker and day: the last by ``sequence``."""
-    last = Window.partitionBy(key, day).orderBy(F.col(sequence).desc() if sequence else F.lit(0))
+    """One row for each ticker and day: the last by ``sequence``, else the one whose values have the largest hash."""
+    last = Window.partitionBy(key, day).orderBy(F.col(sequence).desc() if sequence else F.xxhash64(*df.columns).desc())
     return df.withColumn("__k", F.row_number().over(last)).filter("__k = 1").drop("__k")
 
 

@@ -12,19 +12,70 @@ from ..functions.scalar import finite, safe_divide
 from ..functions.text import words
 
 #: Words that the keyword model counts.
-POSITIVE = ["growth", "strong", "record", "improved", "increase", "profit", "beat", "exceeded", "gain", "positive"]
-NEGATIVE = ["decline", "weak", "loss", "decrease", "missed", "risk", "uncertain", "challenge", "negative", "drop"]
+POSITIVE = ["grew", "growth", "record", "strong", "increased", "beat", "exceeded", "margin", "raised", "guidance", "optimistic", "confident", "opportunity", "momentum", "outperform"]
+NEGATIVE = ["decline", "decreased", "miss", "shortfall", "risk", "uncertainty", "headwind", "challenged", "slowdown", "concern", "pressure", "difficult", "lower", "reduced"]
 
 Model = Callable[[list[str]], list[tuple[float, float, float]]]
 
 
-def keyword_probs(text: Column, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE, base: float = 0.34, step: float = 0.1) -> list[Column]:
-    """(positive, neutral, negative) of a deterministic stand-in model: each distinct keyword adds ``step``."""
+def keyword_probs(text: Column, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE, step: float = 0.5, neutral: float = 1.5, head: int = 50, scale: float = 100_000.0) -> list[Column]:
+    """(positive, neutral, negative) of a deterministic stand-in model.
+
+    Each distinct keyword adds ``step`` to a weight of 1, and the MD5 of the first
+    ``head`` bytes adds a hundredth part of a thousandth at most.
+    """
     t = F.array_distinct(words(F.lower(text)))
     hits = lambda ws: F.size(F.array_intersect(t, F.array(*map(F.lit, ws))))
-    p, n = base + step * hits(positive), base + step * hits(negative)
-    total = p + n + base
-    return [p / total, F.lit(base) / total, n / total]
+    p, n = 1.0 + step * hits(positive), 1.0 + step * hits(negative)
+    total = p + n + neutral
+    p, n = F.round(p / total, 6), F.round(n / total, 6)
+    h = F.md5(F.substring(text.cast("binary"), 1, head))
+    part = lambda at: F.conv(F.substring(h, at, 16), 16, 10).cast("decimal(20,0)") % 100
+    shift = ((part(1) * 16 + part(17)) % 100).cast("double") / scale  # 2^64 leaves 16 over 100
+    up = F.least(F.lit(1.0), p + shift)
+    total = up + n + F.round(1.0 - p - n, 6)
+    return [up / total, 1.0 - up / total - n / total, n / total]
+
+
+def softmax(logits: Column) -> Column:
+    """An array scaled to probabilities, shifted by its largest value first."""
+    top = F.array_max(logits)
+    raw = F.transform(logits, lambda x: F.exp(x - top))
+    return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, y: a + y))
+
+
+def resilient(model: Model, retries: int = 3, delay: float = 1.0, wait: Callable[[float], None] | None = None) -> Model:
+    """``model`` with a batch that runs out of memory halved, and other errors tried again after doubling delays."""
+    import time
+
+    pause = wait or time.sleep
+
+    def run(texts: list[str]) -> list[tuple[float, float, float]]:
+        for attempt in range(retries + 1):
+            try:
+                return list(model(texts))
+            except MemoryError:
+                if len(texts) < 2:
+                    raise
+                half = len(texts) // 2
+                return run(texts[:half]) + run(texts[half:])
+            except Exception:
+                if attempt == retries:
+                    raise
+                pause(delay * 2**attempt)
+        return []
+
+    return run
+
+
+def score_missing(df: DataFrame, cached: DataFrame, keys: list[str], score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Scores of ``df``'s rows: those that ``cached`` has by ``keys`` (such as id and model), and new ones by ``score``.
+
+    Rows of ``cached`` for other keys are left out; of rows that repeat a key one counts.
+    """
+    wanted = df.dropDuplicates(keys)
+    old = cached.dropDuplicates(keys).join(wanted.select(*keys), keys, "left_semi")
+    return old.unionByName(score(wanted.join(cached.select(*keys).distinct(), keys, "left_anti")).select(*old.columns))
 
 
 def assemble(df: DataFrame, probs: list[Column], digits: int = 8, valid: Column | None = None) -> DataFrame:
@@ -87,5 +138,37 @@ def train_classifiers(df: DataFrame, features: list[str], target: str, key: str,
     return out
 
 
+def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.3, seed: int = 42) -> DataFrame:
+    """Adds ``is_test`` so that about ``share`` of each label's rows are in the test: those with the least seeded hashes."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40))
+    cut = df.groupBy(label).agg(F.percentile_approx(draw, share, 10_000).alias("__cut"))
+    return df.join(cut.withColumnRenamed(label, "__label"), F.col(label).eqNullSafe(F.col("__label"))).withColumn("is_test", draw <= F.col("__cut")).drop("__cut", "__label")
+
+
+def binary_target(c: Column | str) -> Column:
+    """1 above 0, else 0; null stays null."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c > 0, 1).when(c.isNotNull(), 0)
+
+
+def keyword_count(c: Column | str) -> Column:
+    """How many keywords a comma-separated list has."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.size(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda w: w != ""))
+
+
+def modelling_frame(df: DataFrame, key: str, features: list[str], target: str) -> DataFrame:
+    """(key, features with medians for what is missing, ``target`` as 0 or 1), without rows that lack the target."""
+    from .stats import median_fill
+
+    kept = df.select(key, *[finite(f).alias(f) for f in features], binary_target(finite(target)).alias("target")).filter("target is not null")
+    return median_fill(kept, features)
+
+
+def feature_importance(rows: DataFrame, weight: str = "coefficient", feature: str = "feature") -> DataFrame:
+    """Largest absolute weights first, ties by name."""
+    return rows.orderBy(F.abs(weight).desc(), feature)
+
+
 def skip_rate(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.count_if("was_skipped").alias("skipped"), safe_divide(F.count_if("was_skipped"), F.count("*")).alias("rate"))

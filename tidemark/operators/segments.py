@@ -10,15 +10,15 @@ from ..functions import text as tx
 from ..functions.scalar import col, safe_divide
 
 SECTIONS = ("opening", "prepared", "qa", "closing")
-#: Words of a header by role, tried in this order.
+#: A short list of roles by words of a header, tried in this order; ``roles`` has the full cascade.
 ROLE_WORDS = [
     ("ceo", ["chief executive", "ceo"]), ("cfo", ["chief financial", "cfo"]), ("coo", ["chief operating", "coo"]), ("cto", ["chief technology", "cto"]),
-    ("chair", ["chairman", "chairwoman", "chairperson"]), ("president", ["president"]), ("investor_relations", ["investor relations"]),
-    ("analyst", ["analyst", "research", "securities", "capital markets"]), ("operator", ["operator", "moderator", "coordinator"]), ("executive", ["vice president", "director", "officer", "head of"]),
+    ("chair", ["chairman", "chairwoman", "chairperson"]), ("executive", ["vice president"]), ("president", ["president"]), ("investor_relations", ["investor relations"]),
+    ("analyst", ["analyst", "research", "securities", "capital markets"]), ("operator", ["operator", "moderator", "coordinator"]), ("executive", ["director", "officer", "head of"]),
 ]
-#: What a role is among.
+#: What a role is among.
 ROLE_TYPES = {"ceo": "management", "cfo": "management", "coo": "management", "cto": "management", "chair": "management", "president": "management", "investor_relations": "management", "executive": "management", "analyst": "analyst", "operator": "operator"}
-#: Opening phrases of a question-and-answer part and of prepared remarks.
+#: Opening phrases of a question-and-answer part.
 QA_MARKERS = [r"(?i)question[- ]and[- ]answer", r"(?i)\bq ?& ?a\b", r"(?i)we will now (begin|take) (the )?questions?", r"(?i)our first question"]
 
 
@@ -179,14 +179,69 @@ def rebuild(chunks: DataFrame, key: str) -> DataFrame:
     return ids.groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("sentence_ids"))
 
 
-def extract_metadata(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``ticker``, ``quarter``, ``year``, ``call_date`` and ``transcript_key`` (null if one of the first three is missing)."""
+#: Capitals that are no ticker.
+NO_TICKERS = [
+    "Q1", "Q2", "Q3", "Q4", "FY", "YTD", "YOY", "QOQ", "MOM", "CEO", "CFO", "COO", "CTO", "CMO", "CRO", "CIO", "CLO", "VP", "SVP", "EVP", "AVP", "MD", "IR", "GM",
+    "EPS", "PE", "VC", "IPO", "EBITDA", "GAAP", "OPEX", "CAPEX", "ARR", "MRR", "LTV", "CAC", "FCF", "NOI", "NII", "ROE", "ROA", "NYSE", "NASDAQ", "AMEX", "OTC", "SEC", "FDIC", "FED", "SPX", "DJI", "VIX",
+    "USA", "USD", "EUR", "GBP", "JPY", "CNY", "CAD", "AUD", "US", "UK", "EU", "UN", "AI", "ML", "API", "IOT", "AR", "VR", "AM", "PM",
+]
+_QUARTER_WORDS = {"first": "Q1", "second": "Q2", "third": "Q3", "fourth": "Q4"}
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+#: Forms of dates, tried in this order, with their formats.
+DATES = [
+    (rf"\b((?:{_MONTHS}) [0-9]{{1,2}}, [0-9]{{4}})\b", "MMMM d, yyyy"), (rf"\b([0-9]{{1,2}} (?:{_MONTHS}) [0-9]{{4}})\b", "d MMMM yyyy"),
+    (r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b", "yyyy-MM-dd"), (r"\b([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})\b", "M/d/yyyy"), (r"\b((?:Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\.? [0-9]{1,2}, [0-9]{4})\b", "MMM d, yyyy"),
+]
+
+
+def clean_company(c: Column) -> Column:
+    """Without marks at its ends and words like Inc and Call at its end."""
+    out = F.btrim(F.btrim(c), F.lit(",-."))
+    for suffix in ("Inc", "Corp", "Ltd", "LLC", "PLC", "Earnings", "Results", "Conference", "Call"):
+        out = F.btrim(F.regexp_replace(out, rf"(?i)\s+{suffix}\s*$", ""))
+    return F.coalesce(F.nullif(out, F.lit("")), F.btrim(c))
+
+
+def extract_metadata(df: DataFrame, text: str, filename: str | None = None, head_lines: int = 35) -> DataFrame:
+    """Adds ``ticker``, ``company``, ``quarter``, ``year``, ``call_date``, ``transcript_key`` and ``is_complete``.
+
+    The first lines are searched before the whole text.  Ticker: in brackets,
+    after an exchange, in the file's name, with a share class, or a word of
+    capitals in the first three lines.  A quarter's form may give the year, too.
+    Years are between 2000 and 2040.  The key is null if ticker, quarter or year is.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    found = lambda p, g=1: F.nullif(F.regexp_extract(t, p, g), F.lit(""))
-    raw = found(r"(?i)\b(?:fy|fiscal year|fiscal)[ ']*([0-9]{2,4})\b").try_cast("int")
-    year = F.coalesce(F.when(raw < 50, 2000 + raw).when(raw < 100, 1900 + raw).when(raw.between(2000, 2040), raw), found(r"\b(20[0-4][0-9])\b").try_cast("int"))
-    words = F.create_map(*[F.lit(x) for kv in {"first": "Q1", "second": "Q2", "third": "Q3", "fourth": "Q4"}.items() for x in kv])
-    quarter = F.coalesce(F.upper(found(r"(?i)\b(q[1-4])\b")), F.try_element_at(words, F.lower(found(r"(?i)\b(first|second|third|fourth) quarter\b"))))
-    date = F.coalesce(F.try_to_date(found(r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b"), "yyyy-MM-dd"), F.try_to_date(found(r"\b([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})\b"), "MMMM d, yyyy"), F.try_to_date(found(r"\b([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})\b"), "M/d/yyyy"))
-    out = df.withColumns({"ticker": F.coalesce(found(r"\((?:NYSE|NASDAQ|Nasdaq|AMEX): ?([A-Z]{1,5})\)"), found(r"\(([A-Z]{1,5})\)")), "quarter": quarter, "year": year, "call_date": date})
-    return out.withColumn("transcript_key", F.when(F.col("ticker").isNotNull() & F.col("quarter").isNotNull() & F.col("year").isNotNull(), F.concat_ws("_", "ticker", "quarter", F.col("year").cast("string"))))
+    lines = F.split(t, "\n")
+    top = lambda n: F.array_join(F.slice(lines, 1, n), "\n")
+    out = df.withColumns({"__t": t, "__h": top(head_lines), "__first": top(10), "__three": top(3)})
+    found = lambda c, p, g=1: F.nullif(F.regexp_extract(c, p, g), F.lit(""))
+    both = lambda f: F.coalesce(f("__h"), f("__t"))
+    blocked = F.array(*map(F.lit, NO_TICKERS))
+    free = lambda words: F.get(F.filter(words, lambda w: ~F.array_contains(blocked, w)), F.lit(0))
+    every = lambda c, p: F.regexp_extract_all(c, F.lit(p), F.lit(1))
+    share = found("__h", r"\b([A-Z]{1,4}\.[A-Z])\b")
+    tiers = [
+        free(every("__h", r"\(([A-Z]{1,5}(?:\.[A-Z]{1,2})?)\)")), F.upper(found("__h", r"(?i)\b(?:NYSE|NASDAQ|AMEX|OTC)[ ]?:[ ]?([A-Z]{1,5})\b")),
+        free(F.regexp_extract_all(F.upper(F.col(filename)), F.lit(r"(?:^|[^A-Z])([A-Z]{1,5})(?=[^A-Z]|$)"), F.lit(1))) if filename else F.lit(None).cast("string"),
+        F.when(~F.array_contains(blocked, F.substring_index(share, ".", 1)), share), free(every("__three", r"\b([A-Z]{2,5})\b")),
+    ]
+    wide = lambda y: F.when(F.length(y) == 4, y.try_cast("int")).when(y.try_cast("int") < 50, 2000 + y.try_cast("int")).otherwise(1900 + y.try_cast("int"))
+    sane = lambda y: F.when(y.between(2000, 2040), y)
+    words = F.create_map(*[F.lit(x) for kv in _QUARTER_WORDS.items() for x in kv])
+    with_year = [r"(?i)\bQ([1-4])[ ]?FY[ ']?([0-9]{4}|[0-9]{2})\b", r"(?i)\b([1-4])Q[ ]?'?([0-9]{4}|[0-9]{2})\b"]
+    quarter = lambda c: F.coalesce(*[F.concat(F.lit("Q"), found(c, p)) for p in [*with_year, r"(?i)\bQ([1-4])\b"]], F.try_element_at(words, F.lower(found(c, r"(?i)\b(first|second|third|fourth)[ -]quarter\b"))))
+    named = lambda c: F.when(found(c, with_year[0]).isNotNull(), sane(wide(found(c, with_year[0], 2)))).when(found(c, with_year[1]).isNotNull(), sane(wide(found(c, with_year[1], 2))))
+    of_quarter = F.when(quarter("__h").isNotNull(), named("__h")).otherwise(named("__t"))
+    four = lambda c: F.get(F.filter(F.transform(every(c, r"\b((?:19|20)[0-9]{2})\b"), lambda y: y.cast("int")), lambda y: y.between(2000, 2040)), F.lit(0))
+    year = lambda c: F.coalesce(sane(found(c, r"(?i)\bfiscal (?:year )?([0-9]{4})\b").try_cast("int")), sane(wide(found(c, r"(?i)\bFY[ ']?([0-9]{4}|[0-9]{2})\b"))), four(c))
+    date = lambda c: F.coalesce(*[F.when(F.year(d).between(2000, 2040), d) for d in (F.try_to_date(F.replace(found(c, p), F.lit("."), F.lit("")) if "MMM d" in f and "MMMM" not in f else found(c, p), f) for p, f in DATES)])
+    call = r"(?:Q[1-4]|first|second|third|fourth)"
+    names = [
+        found("__first", rf"(?i)welcome\s+to\s+(?:the\s+)?(.+?)(?:'s\s+)?(?:Q[1-4]|first|second|third|fourth|[0-9]{{4}}|earnings|results|fiscal)"),
+        found("__first", rf"(?im)^[ \t]*(.+?)\s*(?:\([A-Z]{{1,5}}\))?\s*{call}.*?(?:earnings|results|conference|call)"),
+        found("__first", r"(?i)this\s+is\s+(?:the\s+)?(.+?)\s*(?:earnings|results|conference|quarterly)\s+(?:call|results)"),
+    ]
+    long_ = lambda c: F.when(F.length(c) >= 3, c)
+    out = out.withColumns({"ticker": F.coalesce(*tiers), "company": F.coalesce(*[long_(clean_company(n)) for n in names]), "quarter": both(quarter), "year": F.coalesce(of_quarter, both(year)), "call_date": both(date)})
+    known = F.col("ticker").isNotNull() & F.col("quarter").isNotNull() & F.col("year").isNotNull()
+    return out.withColumns({"transcript_key": F.when(known, F.concat_ws("_", "ticker", "quarter", F.col("year").cast("string"))), "is_complete": known & F.col("call_date").isNotNull()}).drop("__t", "__h", "__first", "__three")

@@ -205,7 +205,8 @@ def ols_multiple(spark, d):
     return rounded(stats.ols(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]), digits=4)
 
 
-@query()
+@query("""WITH r AS (SELECT corr(l_quantity, l_discount) AS a, corr(l_quantity, l_tax) AS b, corr(l_discount, l_tax) AS c FROM lineitem), d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM r)
+SELECT 'l_quantity' AS feature, round((1 - c * c) / det, 6) AS vif FROM d UNION ALL SELECT 'l_discount', round((1 - b * b) / det, 6) FROM d UNION ALL SELECT 'l_tax', round((1 - a * a) / det, 6) FROM d""")
 def variance_inflation(spark, d):
     return rounded(stats.variance_inflation(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"]))
 
@@ -274,11 +275,16 @@ def _has(ws: list[str]) -> str:
     return "(" + " + ".join(f"list_contains(w, '{x}')::INT" for x in ws) + ")"
 
 
-@query(rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split_regex(lower(coalesce(text, '')), '[ \t\n\v\f\r]+') AS w FROM documents), p AS (SELECT doc_id, length(trim(text)) >= 3 AS ok, 0.34 + 0.1 * {_has(_P)} AS p, 0.34 + 0.1 * {_has(_N)} AS n FROM t)
-SELECT doc_id, round(CASE WHEN ok THEN p / (p + n + 0.34) ELSE 0 END, 6)::DOUBLE AS positive_prob, round(CASE WHEN ok THEN n / (p + n + 0.34) ELSE 0 END, 6)::DOUBLE AS negative_prob, CASE WHEN NOT ok THEN 'neutral' WHEN p >= n THEN 'positive' ELSE 'negative' END AS predicted_label, NOT ok AS was_skipped FROM p""")
+_MD5 = "md5(encode(text)[1:50])"
+_EPS = f"((('0x' || substr({_MD5}, 1, 16))::UBIGINT % 100 * 16 + ('0x' || substr({_MD5}, 17, 16))::UBIGINT % 100) % 100)::DOUBLE / 100000"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split_regex(lower(coalesce(text, '')), '[ \t\n\v\f\r]+') AS w FROM documents), p AS (SELECT doc_id, length(trim(text)) >= 3 AS ok, 1 + 0.5::DOUBLE * {_has(_P)} AS p, 1 + 0.5::DOUBLE * {_has(_N)} AS n, {_EPS} AS eps FROM t),
+r AS (SELECT doc_id, ok, round(p / (p + n + 1.5), 6) AS p, round(n / (p + n + 1.5), 6) AS n, eps FROM p), s AS (SELECT doc_id, ok, (p + eps) / (1 + eps) AS p, n / (1 + eps) AS n FROM r)
+SELECT doc_id, round(CASE WHEN ok THEN p ELSE 0 END, 5)::DOUBLE AS positive_prob, round(CASE WHEN ok THEN n ELSE 0 END, 5)::DOUBLE AS negative_prob, CASE WHEN NOT ok THEN 'neutral' WHEN p >= 1 - p - n AND p >= n THEN 'positive' WHEN n > 1 - p - n THEN 'negative' ELSE 'neutral' END AS predicted_label, NOT ok AS was_skipped FROM s""")
 def keyword_model(spark, d):
     out = models.score_with_keywords(table(spark, d, "documents").select("doc_id", "text"), "text", _P, _N)
-    return rounded(out.select("doc_id", "positive_prob", "negative_prob", "predicted_label", "was_skipped"))
+    return rounded(out.select("doc_id", "positive_prob", "negative_prob", "predicted_label", "was_skipped"), digits=5)
 
 
 @query()

@@ -212,7 +212,7 @@ def qa_pairs(spark, d):
 
 
 @query("""WITH s AS (SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'Chief Executive Officer' WHEN 1 THEN 'CFO and Treasurer' WHEN 2 THEN 'Analyst, Capital Markets' WHEN 3 THEN 'Conference Operator' WHEN 4 THEN 'Vice President, Sales' ELSE s_name END AS header FROM supplier)
-SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'ceo' WHEN 1 THEN 'cfo' WHEN 2 THEN 'analyst' WHEN 3 THEN 'operator' WHEN 4 THEN 'president' ELSE 'unknown' END AS role, CASE s_suppkey % 6 WHEN 2 THEN 'analyst' WHEN 3 THEN 'operator' WHEN 5 THEN 'unknown' ELSE 'management' END AS role_type FROM s""")
+SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'ceo' WHEN 1 THEN 'cfo' WHEN 2 THEN 'analyst' WHEN 3 THEN 'operator' WHEN 4 THEN 'executive' ELSE 'unknown' END AS role, CASE s_suppkey % 6 WHEN 2 THEN 'analyst' WHEN 3 THEN 'operator' WHEN 5 THEN 'unknown' ELSE 'management' END AS role_type FROM s""")
 def role_classify(spark, d):
     k = F.pmod("s_suppkey", F.lit(6))
     header = F.when(k == 0, "Chief Executive Officer").when(k == 1, "CFO and Treasurer").when(k == 2, "Analyst, Capital Markets").when(k == 3, "Conference Operator").when(k == 4, "Vice President, Sales").otherwise(F.col("s_name"))
@@ -220,7 +220,12 @@ def role_classify(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", role.alias("role"), segments.role_type(role).alias("role_type"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\r]+([A-Z"''0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS l FROM documents), s AS (SELECT doc_id, list_filter(list_transform(l, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS l FROM m)
+#: Abbreviations' and initials' dots are guarded before the text is parted.
+_GUARDED = r"""regexp_replace(coalesce(text, ''), '(^|[^\p{L}\p{N}_])(""" + "|".join(a.replace(".", r"\.") for a in tx.ABBREVIATIONS) + r"""|[A-Z])\.', '\1\2' || chr(8288), 'g')"""
+_PARTED = r"""list_transform(string_split(regexp_replace(""" + _GUARDED + r""", '([.!?])[ \t\n\r]+([A-Z"''0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(replace(x, chr(8288), '.'), ' ' || chr(9) || chr(10) || chr(13)))"""
+
+
+@query(rf"""WITH s AS (SELECT doc_id, list_filter({_PARTED}, lambda x: x <> '') AS l FROM documents)
 SELECT doc_id, len(l)::BIGINT AS n_sentences, coalesce(list_sum(list_transform(l, lambda x: length(x))), 0)::BIGINT AS n_chars FROM s""")
 def sentence_split(spark, d):
     out = table(spark, d, "documents").select("doc_id", tx.sentences("text").alias("s"))
@@ -231,9 +236,10 @@ def _sentences(spark, d):
     return segments.sentence_table(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-@query()
+@query(rf"""WITH s AS (SELECT doc_id, list_filter({_PARTED}, lambda x: length(x) >= 10 AND len(list_filter(string_split_regex(x, '[ \t\n\v\f\r]+'), lambda w: w <> '')) >= 3) AS l FROM documents), u AS (SELECT doc_id, unnest(l) AS sentence_text, generate_subscripts(l, 1) - 1 AS o FROM s)
+SELECT doc_id, o AS sentence_order, substr(sha256(doc_id || '|' || lpad(o::VARCHAR, 6, '0')), 1, 8) AS sentence_id, sentence_text, greatest(ceil(length(sentence_text) / 4.0), ceil(len(list_filter(string_split_regex(sentence_text, '[ \t\n\v\f\r]+'), lambda w: w <> '')) * 1.3))::BIGINT AS token_estimate, (o // 10)::BIGINT AS chunk_candidate FROM u""")
 def sentence_table(spark, d):
-    return _sentences(spark, d)
+    return rounded(_sentences(spark, d))
 
 
 @query()
@@ -241,7 +247,7 @@ def chunk_pack(spark, d):
     return segments.pack_chunks(_sentences(spark, d), "doc_id").drop("sentence_ids")
 
 
-_SENT = r"""m AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\r]+([A-Z"''0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS l FROM documents), s AS (SELECT doc_id, list_filter(list_transform(l, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: length(x) >= 10 AND len(list_filter(string_split_regex(x, '[ \t\n\v\f\r]+'), lambda w: w <> '')) >= 3) AS l FROM m)"""
+_SENT = rf"""s AS (SELECT doc_id, list_filter({_PARTED}, lambda x: length(x) >= 10 AND len(list_filter(string_split_regex(x, '[ \t\n\v\f\r]+'), lambda w: w <> '')) >= 3) AS l FROM documents)"""
 
 
 @query(f"WITH {_SENT} SELECT doc_id, len(l)::BIGINT AS sentences, len(l)::BIGINT AS covered, 1.0::DOUBLE AS coverage FROM s WHERE len(l) > 0")
@@ -276,16 +282,9 @@ def parse_turns(spark, d):
     return segments.parse_turns(c.groupBy("conv_id").agg(text.alias("text")), "conv_id", "text")
 
 
-@query(r"""SELECT p_partkey, 'ABC' AS ticker, 'Q' || (p_size % 4 + 1) AS quarter, 2000 + p_size::BIGINT AS year, DATE '2024-01-30' AS call_date, 'ABC_Q' || (p_size % 4 + 1) || '_' || (2000 + p_size) AS transcript_key FROM part WHERE p_size < 40""")
-def extract_metadata(spark, d):
-    p = table(spark, d, "part").filter("p_size < 40")
-    text = F.format_string("Acme (NYSE: ABC) Q%d fiscal %d results call, January 30, 2024", (F.pmod("p_size", F.lit(4)) + 1), F.col("p_size") + 2000)
-    return rounded(segments.extract_metadata(p.select("p_partkey", text.alias("text")), "text").drop("text"))
-
-
-@query("""WITH e AS (SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events) SELECT k, count(*) AS n FROM e GROUP BY k""")
+@query("""SELECT CAST(props->>'$.k' AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1""")
 def json_props(spark, d):
-    return table(spark, d, "events").select(F.regexp_extract("props", "[0-9]+", 0).cast("long").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    return table(spark, d, "events").select(F.from_json("props", "k long")["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id""")
