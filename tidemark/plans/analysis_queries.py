@@ -281,10 +281,10 @@ _EPS = f"((('0x' || substr({_MD5}, 1, 16))::UBIGINT % 100 * 16 + ('0x' || substr
 
 @query(rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split_regex(lower(coalesce(text, '')), '[ \t\n\v\f\r]+') AS w FROM documents), p AS (SELECT doc_id, length(trim(text)) >= 3 AS ok, 1 + 0.5::DOUBLE * {_has(_P)} AS p, 1 + 0.5::DOUBLE * {_has(_N)} AS n, {_EPS} AS eps FROM t),
 r AS (SELECT doc_id, ok, round(p / (p + n + 1.5), 6) AS p, round(n / (p + n + 1.5), 6) AS n, eps FROM p), s AS (SELECT doc_id, ok, (p + eps) / (1 + eps) AS p, n / (1 + eps) AS n FROM r)
-SELECT doc_id, round(CASE WHEN ok THEN p ELSE 0 END, 5)::DOUBLE AS positive_prob, round(CASE WHEN ok THEN n ELSE 0 END, 5)::DOUBLE AS negative_prob, CASE WHEN NOT ok THEN 'neutral' WHEN p >= 1 - p - n AND p >= n THEN 'positive' WHEN n > 1 - p - n THEN 'negative' ELSE 'neutral' END AS predicted_label, NOT ok AS was_skipped FROM s""")
+SELECT doc_id, round((CASE WHEN ok THEN p ELSE 0 END)::DECIMAL(18, 8), 4)::DOUBLE AS positive_prob, round((CASE WHEN ok THEN n ELSE 0 END)::DECIMAL(18, 8), 4)::DOUBLE AS negative_prob, CASE WHEN NOT ok THEN 'neutral' WHEN round(p, 8) >= round(1 - p - n, 8) AND round(p, 8) >= round(n, 8) THEN 'positive' WHEN round(n, 8) > round(1 - p - n, 8) THEN 'negative' ELSE 'neutral' END AS predicted_label, NOT ok AS was_skipped FROM s""")
 def keyword_model(spark, d):
     out = models.score_with_keywords(table(spark, d, "documents").select("doc_id", "text"), "text", _P, _N)
-    return rounded(out.select("doc_id", "positive_prob", "negative_prob", "predicted_label", "was_skipped"), digits=5)
+    return rounded(out.select("doc_id", "positive_prob", "negative_prob", "predicted_label", "was_skipped"), digits=4)
 
 
 @query()
