@@ -200,19 +200,52 @@ def _verify(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(keep, "u long, v long")
 
 
+class _Unmet:
+    """Which nodes of the right side a left node has to be compared with in one block.
+
+    Two nodes of different components that share several buckets meet in the one
+    of the least hash only, and where both belong to the rest, on one side only.
+    ``met`` lists the earlier buckets of the left node: at most one for each band.
+    """
+
+    def __init__(self, left: pd.DataFrame, right: pd.DataFrame):
+        self.label, self.node, self.rest = (right[c].to_numpy() for c in ("label", "node", "rest"))
+        self.left = list(zip(left["node"].tolist(), left["label"].tolist(), left["met"].tolist(), strict=True))
+        at: dict[int, list[int]] = {}
+        for j, met in enumerate(right["met"].tolist()):
+            for band in met:
+                at.setdefault(int(band), []).append(j)
+        self.at = {band: np.array(js) for band, js in at.items()}
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        node, label, met = self.left[i]
+        ok = (self.label != label) & ((self.rest == 0) | (self.node > node))
+        for band in met:
+            if (js := self.at.get(int(band))) is not None:
+                ok[js] = False
+        return np.flatnonzero(ok)
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    return pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+
+
+_HOPES = "band long, i long, j long, side int, node long, label long, rest int, met array<long>"
+
+
 def _block_hopes(percent: int, miss: float):
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         """The nodes of one block whose signature lets some link with another component be; no sets are read yet."""
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        left, right = _sides(pdf)
         hope_l, hope_r = np.zeros(len(left), bool), np.zeros(len(right), bool)
         if len(left) and len(right):
-            a, b, rlabel = _signs(left["sig"]), _signs(right["sig"]), right["label"].to_numpy()
-            for i, label in enumerate(left["label"].tolist()):
-                other = np.flatnonzero(rlabel != label)
+            a, b, unmet = _signs(left["sig"]), _signs(right["sig"]), _Unmet(left, right)
+            for i in range(len(left)):
+                other = unmet[i]
                 good = other[plausible(np.broadcast_to(a[i], (len(other), a.shape[1])), b[other], percent / 100, miss)]
                 hope_l[i] = len(good) > 0
                 hope_r[good] = True
-        return pd.concat([left[hope_l], right[hope_r]])[["band", "i", "j", "side", "node", "label"]]
+        return pd.concat([left[hope_l], right[hope_r]])[["band", "i", "j", "side", "node", "label", "rest", "met"]]
 
     return find
 
@@ -220,10 +253,10 @@ def _block_hopes(percent: int, miss: float):
 def _block_links(percent: int, miss: float):
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         """A spanning set of the links between the rest's nodes and the others of one block."""
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        left, right = _sides(pdf)
         out: list[tuple[int, int]] = []
         if len(left) and len(right):
-            a, b = _signs(left["sig"]), _signs(right["sig"])
+            a, b, unmet = _signs(left["sig"]), _signs(right["sig"]), _Unmet(left, right)
             parent: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -237,9 +270,8 @@ def _block_links(percent: int, miss: float):
                 parent[node] = label  # nodes of a component are together already
             ls = [np.frombuffer(x, np.uint64) for x in left["shingles"]]
             rs = [np.frombuffer(x, np.uint64) for x in right["shingles"]]
-            rlabel = right["label"].to_numpy()
-            for i, label in enumerate(left["label"].tolist()):
-                other = np.flatnonzero(rlabel != label)
+            for i in range(len(left)):
+                other = unmet[i]
                 for j in other[plausible(np.broadcast_to(a[i], (len(other), a.shape[1])), b[other], percent / 100, miss)].tolist():
                     x, y = root(ln[i]), root(rn[j])
                     if x != y and linked(ls[i], rs[j], percent):
@@ -334,16 +366,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     split = known.groupBy("band").agg(F.sum("rest").alias("n_rest"), F.count("*").alias("n_all"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     split = materialize(split.filter("n_rest > 0 and lo != hi").select("band", F.ceil(F.col("n_rest") / block).alias("ni"), F.ceil(F.col("n_all") / block).alias("nj")), "mh-split")
     dealt = known.join(split, "band")
+    of_node = F.collect_list("band").over(Window.partitionBy("node"))  # at most one for each band of the signature
+    dealt = materialize(dealt.withColumn("met", F.filter(of_node, lambda b: b < F.col("band"))), "mh-dealt")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = dealt.filter("rest = 1").select("band", "node", "label", place("ni").alias("i"), to("nj").alias("j"), F.lit(0).alias("side"))
-    right = dealt.select("band", "node", "label", to("ni").alias("i"), place("nj").alias("j"), F.lit(1).alias("side"))
+    kept = ["band", "node", "label", "rest", "met"]
+    left = dealt.filter("rest = 1").select(*kept, place("ni").alias("i"), to("nj").alias("j"), F.lit(0).alias("side"))
+    right = dealt.select(*kept, to("ni").alias("i"), place("nj").alias("j"), F.lit(1).alias("side"))
     blocks = left.unionByName(right).join(signs.select("node", "sig"), "node")
-    hopes = blocks.groupBy("band", "i", "j").applyInPandas(_block_hopes(percent, miss), "band long, i long, j long, side int, node long, label long")
+    hopes = blocks.groupBy("band", "i", "j").applyInPandas(_block_hopes(percent, miss), _HOPES)
     hopes = materialize(hopes, "mh-hopes")
-    blocks = hopes.join(signs.select("node", "sig"), "node").join(full.select("node", "shingles"), "node")
+    both = full.select("node", "shingles").join(signs.select("node", "sig"), "node")
+    blocks = hopes.join(both, "node")
     more = materialize(blocks.groupBy("band", "i", "j").applyInPandas(_block_links(percent, miss), "u long, v long").distinct(), "mh-more", 500)
-    delete(signs, members, full, known, split, hopes)
+    delete(signs, members, full, known, split, dealt, hopes)
     if not more.isEmpty():
         old, labels = labels, components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(more))
         delete(old)
