@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -225,20 +226,26 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     return rows.mapInArrow(predict, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, text: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, text: str = "text", fill: str | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known with ``min_score`` at least.
 
-    Null and empty texts and texts without letters go, whatever the score asked
-    for; repeated rows stay or go together; null ids don't matter; an empty table
-    stays empty.
+    Nulls in the column ``fill``, where the table has one of that name, become the
+    language told; its other values stay.  Null and empty texts and texts without
+    letters go, whatever the score asked for; repeated rows stay or go together;
+    null ids don't matter; an empty table stays empty.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
+    into = docs.columns.index(fill) if fill in docs.columns else None
 
     def keep(batches):
         m = sent.value
         for batch in batches:
             found = [m.predict(t.as_py()) for t in batch.column(at)]
+            if into is not None:
+                field = batch.schema.field(into)
+                told = pa.array([None if lang == UNKNOWN else lang for lang, _ in found], field.type)
+                batch = batch.set_column(into, field, pc.coalesce(batch.column(into), told))
             yield batch.filter(pa.array([lang != UNKNOWN and p >= min_score for lang, p in found], pa.bool_()))
         release()
 
